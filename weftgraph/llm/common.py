@@ -47,6 +47,12 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def apart(df: DataFrame) -> DataFrame:
+    """An aggregate, dealt anew: as the result of an exchange of its own it lets adaptive execution split the
+    other side of a join where one key is very common, which it can't above an aggregate by that key."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def two_columns(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Only doc_id and text (null text: empty), whatever other columns there are."""
     return df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import bounded_batches, cut, discard, two_columns
+from weftgraph.llm.common import apart, bounded_batches, cut, discard, two_columns
 from weftgraph.llm.components import components
 from weftgraph.llm.textbytes import SPACE, Rolling, column_bytes, mix, runs, slices
 
@@ -156,12 +156,12 @@ def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
 def _members(bands: DataFrame) -> DataFrame:
     """The classes of every bucket with more than one, and up to PIVOTS central ones of each."""
     full = bands.groupBy("band", "bucket").agg(F.count("*").alias("held")).filter("held > 1")
-    rows = cut(bands.join(full, ["band", "bucket"]), "mh-shared")
+    rows = cut(bands.join(apart(full), ["band", "bucket"]), "mh-shared")
     weight = rows.groupBy("rep").agg(F.sum("held").alias("weight"))
     rows_w = cut(rows.join(weight, "rep"), "mh-weighted")
     part = F.pmod(F.xxhash64("rep"), F.lit(PIVOTS))
     best = rows_w.groupBy("band", "bucket").agg(*[F.max(F.when(part == k, F.struct("weight", "rep"))).alias(f"p{k}") for k in range(PIVOTS)])
-    out = cut(rows_w.join(best, ["band", "bucket"]).select("band", "bucket", "rep", "n", "weight", *[f"p{k}" for k in range(PIVOTS)]), "mh-members")
+    out = cut(rows_w.join(apart(best), ["band", "bucket"]).select("band", "bucket", "rep", "n", "weight", *[f"p{k}" for k in range(PIVOTS)]), "mh-members")
     discard(rows, rows_w)
     return out
 
@@ -190,7 +190,7 @@ def _remaining_links(members: DataFrame, sets: DataFrame, labels: DataFrame, per
     rows = members.select("band", "bucket", "rep", "n").join(labels, F.col("rep") == F.col("node"), "left")
     rows = rows.select("band", "bucket", "rep", "n", F.coalesce("component", "rep").alias("component"))
     mixed = rows.groupBy("band", "bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("band", "bucket")
-    rows = cut(rows.join(mixed, ["band", "bucket"]), "mh-mixed")
+    rows = cut(rows.join(apart(mixed), ["band", "bucket"]), "mh-mixed")
     ids = rows.select("rep").distinct()
     shingles = sets.join(ids, "rep").select("rep", F.explode("members").alias("shingle"))
     alone = shingles.groupBy("shingle").agg(F.count("*").alias("n"), F.min("rep").alias("rep")).filter("n = 1").groupBy("rep").agg(F.count("*").alias("alone"))
