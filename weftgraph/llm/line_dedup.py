@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import cut, discard
+from weftgraph.llm.common import apart, cut, discard
 
 BLANK = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -51,7 +51,7 @@ def repeated_keys(lines: DataFrame, spread: int) -> DataFrame:
 def keep_bitmaps(docs: DataFrame, least: int = 40, spread: int = 5) -> DataFrame:
     """doc_id, row_print and the sorted positions that go, of documents that lose lines."""
     lines = cut(occurrences(docs, least), "lines")
-    keys = repeated_keys(lines, spread).drop("n_docs")
+    keys = apart(repeated_keys(lines, spread).drop("n_docs")).hint("merge")
     gone = lines.join(keys, ["h1", "h2"]).filter(~F.col("doc_id").eqNullSafe(F.col("keeper")))
     out = cut(gone.groupBy("doc_id", "row_print").agg(F.array_sort(F.collect_set("pos")).alias("gone")), "line-bitmaps")
     discard(lines)
@@ -71,7 +71,8 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     maps = keep_bitmaps(docs, least, spread).select(F.col("doc_id").alias("_ld_id"), F.col("row_print").alias("_ld_print"), F.col("gone").alias("_ld_gone"))
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = df.withColumn("_ld_row", F.xxhash64(text))
-    out = rows.join(maps, F.col(id_col).eqNullSafe(F.col("_ld_id")) & (F.col("_ld_row") == F.col("_ld_print")), "left")
+    # the same plan at every size
+    out = rows.join(maps.hint("merge"), F.col(id_col).eqNullSafe(F.col("_ld_id")) & (F.col("_ld_row") == F.col("_ld_print")), "left")
     lines = F.split(text, "\n", -1)
     n = F.size(lines)
     out = out.withColumn("_ld_n_lines", n.cast("long")).withColumn("_ld_n_dropped", F.coalesce(F.size("_ld_gone"), F.lit(0)).cast("long"))
