@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import bounded_batches, cut, discard, two_columns
+from weftgraph.llm.common import apart, bounded_batches, cut, two_columns
 from weftgraph.llm.textbytes import column_bytes
 
 CHUNK = 1 << 15
@@ -90,7 +90,7 @@ def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     )
     key = ["fp", "n_bytes"]
     shared = prints.groupBy(key).agg(F.count("*").alias("n")).filter("n > 1 and n_bytes > 0").drop("n")
-    suspects = prints.join(shared, key).select(F.col("doc_id").alias("s_id"), *key).distinct()
+    suspects = prints.join(apart(shared), key).select(F.col("doc_id").alias("s_id"), *key).distinct()
     pieces = (
         docs.join(suspects, F.col("doc_id").eqNullSafe(F.col("s_id")))
         .filter(F.octet_length("text") == F.col("n_bytes"))
@@ -105,7 +105,7 @@ def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     heads = marked.groupBy(*key, "sub").agg(
         F.count("*").alias("group_size"), F.max(F.struct(F.col("doc_id"), F.col("rid"))).alias("head")
     )
-    return marked.join(heads, [*key, "sub"]).select(
+    return marked.join(apart(heads), [*key, "sub"]).select(
         "doc_id", F.col("head.doc_id").alias("keep_id"), "group_size", (F.col("rid") == F.col("head.rid")).alias("kept"), F.col("sha").alias("text_sha256")
     )
 
