@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import bounded_batches, cut, shared_dir
+from weftgraph.llm.common import apart, bounded_batches, cut, shared_dir
 
 #: An archive is closed once it has so many bytes.
 ARCHIVE_BYTES = 32 << 20
@@ -114,7 +114,7 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
     key = [F.sha2("html", 256).alias("sha"), F.octet_length("html").alias("len")]
     firsts = rows.groupBy(*key).agg(F.min("page_id").alias("first_id")).filter(F.col("len") >= least)
-    marked = rows.select("*", *key).join(firsts, ["sha", "len"], "left")
+    marked = rows.select("*", *key).join(apart(firsts), ["sha", "len"], "left")
     again = F.col("len").__ge__(least) & ~F.col("page_id").eqNullSafe(F.col("first_id"))
     marked = marked.select("page_id", "url", "html", F.when(again, F.col("first_id")).alias("refers_to"), again.alias("revisit"))
     return cut(marked.mapInArrow(_writer(folder, archive_bytes), "archive string, n_records long"), "warc-manifest")
