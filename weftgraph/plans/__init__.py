@@ -1 +1,3 @@
 """Named queries over the driver's tables."""
+
+from weftgraph.plans import core  # noqa: F401  registers its queries
