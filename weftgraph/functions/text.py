@@ -7,6 +7,7 @@ import html
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Ligatures and what stands for them, and characters that vanish.
 LIGATURES = {"ﬁ": "fi", "ﬂ": "fl", "ﬀ": "ff", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "st", "ﬆ": "st"}
@@ -25,7 +26,7 @@ def repair_unicode(text: Column) -> Column:
     return F.regexp_replace(text, r"([\p{L}\p{N}_])-\n([\p{L}\p{N}_])", "$1$2")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def html_unescape(text: pd.Series) -> pd.Series:
     """The full HTML5 entity table has no built-in counterpart: Arrow batches."""
     return text.map(html.unescape, na_action="ignore")
