@@ -65,6 +65,25 @@ def test_fingerprints_compose():
         assert exact_dedup.fingerprint(data) >> (31 if which == 0 else 0) & (1 << 31) - 1 == h
 
 
+def test_prefix_pairs_lose_no_link(spark):
+    """Pairs of different components by prefixes against all pairs, over edited copies of one text."""
+    rng = np.random.default_rng(5)
+    base = rng.integers(1, 1 << 40, 60)
+    sets = []
+    for i in range(120):
+        s = base.copy()
+        s[rng.integers(0, 60, rng.integers(0, 14))] = rng.integers(1, 30, 1)[0] if i % 3 else i * 1000 + rng.integers(1, 9)
+        sets.append(set(map(int, s[: 60 - i % 7])))
+    near = lambda a, b: 100 * len(a & b) >= 80 * len(a | b)
+    component = [0 if near(s, set(map(int, base))) else i + 1 for i, s in enumerate(sets)]
+    held = spark.createDataFrame([(i, sorted(s)) for i, s in enumerate(sets)], "rep long, members array<long>")
+    owners = spark.createDataFrame([(i, len(s), component[i]) for i, s in enumerate(sets)], "rep long, n long, component long")
+    got = {tuple(r) for r in minhash._sharing_prefix(minhash._prefixes(held, owners, 80), 80).collect()}
+    every = {(a, b) for a in range(120) for b in range(a + 1, 120) if component[a] != component[b]}
+    linked = {(a, b) for a, b in every if near(sets[a], sets[b])}
+    assert linked and linked <= got <= every and len(got) < len(every) / 2
+
+
 def test_near(docs, empty):
     got = {r["doc_id"]: r for r in rows(minhash.near_groups(docs, words=4))}
     assert got[6]["component_id"] == 5 and not got[6]["kept"] and got[5]["kept"]

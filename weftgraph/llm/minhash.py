@@ -9,10 +9,11 @@ chance below 5e-8.
 Texts with equal sets are one class from the start. Classes that share a band are linked in two
 steps, both confirmed on full sets. First each class is compared with up to three pivots, the most
 central members of its buckets, one after another until one links. After the components of those links are
-known, all pairs that share a bucket but not a component remain. Of these only those are formed
-that can reach the similarity: a set of which u shingles occur in no other remaining set has at most
-n - u in common with any of them. All of these are verified, so no link between candidates is lost,
-while pairs within a component are never formed.
+known, the sets of all buckets that hold more than one component remain. Pairs of these are formed where
+the sets, rarest shingle first, have one in common early enough that they can reach the similarity
+(prefix and positional filters: Chaudhuri et al. 2006, Xiao et al. 2008). Both filters are exact and all
+pairs that pass are verified, so no link between candidates is lost, while pairs within a component
+are never formed.
 
 Defined cases: null, empty or blank texts have the empty set and are linked with nothing; a row with a null
 doc_id is its own component, null; rows with equal doc_id are one node of the graph, each its own row of the
@@ -25,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftgraph.llm.common import apart, bounded_batches, cut, discard, two_columns
@@ -191,22 +192,52 @@ def _remaining_links(members: DataFrame, sets: DataFrame, labels: DataFrame, per
     rows = rows.select("band", "bucket", "rep", "n", F.coalesce("component", "rep").alias("component"))
     mixed = rows.groupBy("band", "bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("band", "bucket")
     rows = cut(rows.join(apart(mixed), ["band", "bucket"]), "mh-mixed")
-    ids = rows.select("rep").distinct()
-    shingles = sets.join(ids, "rep").select("rep", F.explode("members").alias("shingle"))
-    alone = shingles.groupBy("shingle").agg(F.count("*").alias("n"), F.min("rep").alias("rep")).filter("n = 1").groupBy("rep").agg(F.count("*").alias("alone"))
-    rows_c = rows.join(alone, "rep", "left").withColumn("most", F.col("n") - F.coalesce("alone", F.lit(0)))
+    owners = rows.select("rep", "n", "component").distinct()
+    held = sets.join(owners, "rep").select("rep", F.explode("members").alias("shingle"))
+    alone = held.groupBy("shingle").agg(F.count("*").alias("f"), F.min("rep").alias("rep")).filter("f = 1").groupBy("rep").agg(F.count("*").alias("alone"))
     # a set can reach the similarity with some other only if n - alone >= percent / 100 of its own size
-    able = cut(rows_c.filter(100 * F.col("most") >= percent * F.col("n")).select("band", "bucket", "rep", "n", "component", "most"), "mh-able")
-    left, right = able, able.select("band", "bucket", *[F.col(c).alias(f"{c}_2") for c in ("rep", "n", "component", "most")])
-    common = F.least("most", "most_2")
-    reach = 100 * common >= percent * (F.col("n") + F.col("n_2") - common)
-    pairs = left.join(right, ["band", "bucket"]).filter((F.col("rep") < F.col("rep_2")) & (F.col("component") != F.col("component_2")) & reach)
-    pairs = pairs.select(F.col("rep").alias("a"), F.col("rep_2").alias("b")).distinct()
+    able = owners.join(alone, "rep", "left").filter(100 * (F.col("n") - F.coalesce("alone", F.lit(0))) >= percent * F.col("n")).drop("alone")
+    prefix = cut(_prefixes(sets, able, percent), "mh-prefix")
+    pairs = _sharing_prefix(prefix, percent)
     out = cut(_verified(pairs, sets, percent).filter("linked").select("a", "b"), "mh-more")
-    discard(rows, able)
+    discard(rows, prefix)
     return out
 
 
+def _prefixes(sets: DataFrame, owners: DataFrame, percent: int) -> DataFrame:
+    """The shingles of each set, rarest first, up to the last place where a first one in common leaves the similarity
+    possible; those of no other set take their places but make no rows."""
+    held = cut(sets.join(owners, "rep").select("rep", "n", "component", F.explode("members").alias("shingle")), "mh-held")
+    often = held.groupBy("shingle").agg(F.count("*").alias("f")).filter("f > 1")
+    own = Window.partitionBy("rep")
+    placed = held.join(apart(often), "shingle").withColumn("place", F.row_number().over(own.orderBy("f", "shingle")))
+    placed = placed.withColumn("place", F.col("n") - F.count("*").over(own) + F.col("place"))
+    return placed.filter(100 * (F.col("n") - F.col("place") + 1) >= percent * F.col("n")).select("rep", "n", "component", "shingle", "place")
+
+
+def _sharing_prefix(prefix: DataFrame, percent: int) -> DataFrame:
+    """Distinct pairs a < b of different components that can reach the similarity, judged by places and sizes.
+
+    When the first shingle in common, rarest first, is at place i of n and j of m, the sets have at most
+    1 + min(n - i, m - j) in common. Rows are grouped by shingle and both sizes, and groups of a single component
+    are left out: copies that could link with a group's pivot are linked with it, so that what is common to the group
+    makes no pairs.
+    """
+    reaches = lambda most, n, m: (100 + percent) * most >= percent * (n + m)
+    sizes = prefix.select("shingle", F.col("n").alias("other")).distinct()
+    n, m = F.col("n"), F.col("other")
+    fits = (100 * F.least(n, m) >= percent * F.greatest(n, m)) & reaches(n - F.col("place") + 1, n, m)
+    rows = cut(prefix.join(apart(sizes), "shingle").filter(fits).select("shingle", F.least(n, m).alias("low"), F.greatest(n, m).alias("high"), "rep", "n", "component", "place"), "mh-sized")
+    key = ["shingle", "low", "high"]
+    mixed = rows.groupBy(*key).agg(F.min("component").alias("c1"), F.max("component").alias("c2")).filter("c1 <> c2").select(*key)
+    rows = rows.join(apart(mixed), key)
+    left, right = rows.filter("n = low"), rows.filter("n = high").select(*key, *[F.col(c).alias(f"{c}_2") for c in ("rep", "component", "place")])
+    ordered = (F.col("low") < F.col("high")) | (F.col("rep") < F.col("rep_2"))
+    most = 1 + F.least(F.col("low") - F.col("place"), F.col("high") - F.col("place_2"))
+    pairs = left.join(right, key).filter(ordered & (F.col("component") != F.col("component_2")) & reaches(most, F.col("low"), F.col("high")))
+    return pairs.select(F.least("rep", "rep_2").alias("a"), F.greatest("rep", "rep_2").alias("b")).distinct()
+
+
 def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **limits) -> DataFrame:
     """df's rows and columns, of each group the document with the smallest id."""
     kept = near_groups(df, id_col, text_col, **limits).filter("kept and doc_id is not null").select(F.col("doc_id").alias("_mh_id")).distinct()
