@@ -220,8 +220,8 @@ def _sharing_prefix(prefix: DataFrame, percent: int) -> DataFrame:
 
     When the first shingle in common, rarest first, is at place i of n and j of m, the sets have at most
     1 + min(n - i, m - j) in common. Rows are grouped by shingle and both sizes, and groups of a single component
-    are left out: copies that could link with a group's pivot are linked with it, so that what is common to the group
-    makes no pairs.
+    are left out: copies that could link with a group's pivot are linked with it, so that what is common to a group
+    of one length makes no pairs. Copies of many lengths are pruned less: there pairs can still grow faster than the group.
     """
     reaches = lambda most, n, m: (100 + percent) * most >= percent * (n + m)
     sizes = prefix.select("shingle", F.col("n").alias("other")).distinct()
