@@ -6,7 +6,7 @@ at hubs; passes end in tables of the shared folder. Nothing of the graph reaches
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from weftgraph.llm.common import apart, cut, discard
@@ -22,9 +22,11 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.join(apart(low), "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(apart(low), "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
-        after = cut(small.select("e.*").filter("u <> v").distinct(), "cc")
+        seen = Observation()
+        after = small.select("e.*").filter("u <> v").distinct()
+        after = cut(after.observe(seen, F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")), "cc")
         discard(now)
         now, before = after, mark
-        mark = tuple(now.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
+        mark = seen.get  # gathered while the pass was written
         if mark == before:
             return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
