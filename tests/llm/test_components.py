@@ -65,37 +65,44 @@ def test_fingerprints_compose():
         assert exact_dedup.fingerprint(data) >> (31 if which == 0 else 0) & (1 << 31) - 1 == h
 
 
-def test_prefix_pairs_lose_no_link(spark):
-    """Pairs of different components by prefixes against all pairs, over edited copies of one text."""
+def _pivot_pairs(spark, sets, pivot):
+    """Pairs by differences from a pivot, all pairs of different components, and the linked ones of these."""
+    near = lambda a, b: 100 * len(a & b) >= 80 * len(a | b)
+    component = [0 if near(s, pivot) else i + 1 for i, s in enumerate(sets)]
+    held = [(i, len(s), -1, len(pivot), component[i], len(s ^ pivot), sorted(s ^ pivot)) for i, s in enumerate(sets)]
+    around = spark.createDataFrame(held, "rep long, n long, pivot long, pn long, component long, d long, diff array<long>")
+    got = {(r.a, r.b) for r in minhash._sharing_differences(minhash._placed(around, 80), 80).collect()}
+    every = {(a, b) for a in range(len(sets)) for b in range(a + 1, len(sets)) if component[a] != component[b]}
+    return got, every, {(a, b) for a, b in every if near(sets[a], sets[b])}
+
+
+def test_pairs_by_differences_lose_no_link(spark):
+    """Edited copies of one text, of many lengths, some with edits in common."""
     rng = np.random.default_rng(5)
     base = rng.integers(1, 1 << 40, 60)
     sets = []
     for i in range(120):
         s = base.copy()
         s[rng.integers(0, 60, rng.integers(0, 14))] = rng.integers(1, 30, 1)[0] if i % 3 else i * 1000 + rng.integers(1, 9)
+        if i % 4 == 0:
+            s[:12] = np.arange(100, 112)
         sets.append(set(map(int, s[: 60 - i % 7])))
-    near = lambda a, b: 100 * len(a & b) >= 80 * len(a | b)
-    component = [0 if near(s, set(map(int, base))) else i + 1 for i, s in enumerate(sets)]
-    held = spark.createDataFrame([(i, sorted(s)) for i, s in enumerate(sets)], "rep long, members array<long>")
-    owners = spark.createDataFrame([(i, len(s), component[i]) for i, s in enumerate(sets)], "rep long, n long, component long")
-    got = {tuple(r) for r in minhash._sharing_prefix(minhash._prefixes(held, owners, 80), 80).collect()}
-    every = {(a, b) for a in range(120) for b in range(a + 1, 120) if component[a] != component[b]}
-    linked = {(a, b) for a, b in every if near(sets[a], sets[b])}
-    assert linked and linked <= got <= every and len(got) < len(every)  # lengths differ here: the filters prune little
+    got, every, linked = _pivot_pairs(spark, sets, set(map(int, base)))
+    assert linked and linked <= got <= every and len(got) < len(every)
 
 
-def test_prefix_pairs_of_equal_lengths(spark):
-    """Copies of one length with edits of their own: none that missed the pivot is paired."""
+def test_pairs_by_differences_of_a_large_group(spark):
+    """Copies too far from each other to link, with most of the text in common, of many lengths, make few pairs."""
     rng = np.random.default_rng(6)
+    base = rng.integers(1, 1 << 40, 100)
     sets = []
-    for i in range(100):
-        s, k = np.arange(60), i % 14
-        s[rng.choice(60, k, replace=False)] = 1000 * (i + 1) + np.arange(k)
-        sets.append([int(x) for x in s])
-    component = [0 if i % 14 <= 6 else i + 1 for i in range(100)]  # 54 of 66 shingles in common reach 0.8
-    held = spark.createDataFrame([(i, s) for i, s in enumerate(sets)], "rep long, members array<long>")
-    owners = spark.createDataFrame([(i, 60, component[i]) for i in range(100)], "rep long, n long, component long")
-    assert minhash._sharing_prefix(minhash._prefixes(held, owners, 80), 80).count() == 0
+    for i in range(150):
+        s = base.copy()
+        s[rng.choice(90, 15, replace=False)] = rng.integers(1, 1 << 40, 15)
+        sets.append(set(map(int, s[: 100 - i % 9])))
+    got, every, linked = _pivot_pairs(spark, sets, set(map(int, base)))
+    assert linked <= got and 20 * len(got) < len(every)
+
 
 
 def test_near(docs, empty):

@@ -7,13 +7,12 @@ of ROWS coordinates make candidates: at the similarity of 0.8 a pair shares none
 chance below 5e-8.
 
 Texts with equal sets are one class from the start. Classes that share a band are linked in two
-steps, both confirmed on full sets. First each class is compared with up to three pivots, the most
-central members of its buckets, one after another until one links. After the components of those links are
-known, the sets of all buckets that hold more than one component remain. Pairs of these are formed where
-the sets, rarest shingle first, have one in common early enough that they can reach the similarity
-(prefix and positional filters: Chaudhuri et al. 2006, Xiao et al. 2008). Both filters are exact and all
-pairs that pass are verified, so no link between candidates is lost, while pairs within a component
-are never formed.
+steps, both confirmed on full sets. First each class is compared with the pivot of each of its buckets, the
+most central member. After the components of those links are known, pairs of different components are
+formed where two members of a pivot's buckets share enough of their differences from that pivot: a prefix
+and a positional filter (Chaudhuri et al. 2006, Xiao et al. 2008) on differences, in which what a large group
+has in common does not appear. The filters are exact and all pairs that pass are verified, so no link
+between candidates is lost, while pairs within a component are never formed.
 
 Defined cases: null, empty or blank texts have the empty set and are linked with nothing; a row with a null
 doc_id is its own component, null; rows with equal doc_id are one node of the graph, each its own row of the
@@ -26,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftgraph.llm.common import apart, bounded_batches, cut, discard, two_columns
@@ -34,7 +33,6 @@ from weftgraph.llm.components import components
 from weftgraph.llm.textbytes import SPACE, Rolling, column_bytes, mix, runs, slices
 
 SIZE, ROWS = 128, 4
-PIVOTS = 3
 _EMPTY = np.uint64((1 << 64) - 1)
 _LOW = np.uint64((1 << 48) - 1)
 _SEEDS = np.random.default_rng(3).integers(1, 1 << 63, 2 * SIZE, dtype=np.uint64)
@@ -108,26 +106,33 @@ def _set_udf(words: int):
     return F.arrow_udf(run, "array<long>").asNondeterministic()
 
 
-def _common(pairs: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-    def split(col: pa.Array) -> list[np.ndarray]:
-        flat, ends = col.flatten().to_numpy(), col.offsets.to_numpy()
-        return [flat[a:b] for a, b in zip(ends[:-1] - ends[0], ends[1:] - ends[0], strict=True)]
+def _split(col: pa.Array) -> list[np.ndarray]:
+    flat, ends = col.flatten().to_numpy(), col.offsets.to_numpy()
+    return [flat[a:b] for a, b in zip(ends[:-1] - ends[0], ends[1:] - ends[0], strict=True)]
 
+
+def _differences(pairs: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    """The shingles of exactly one of two sets."""
     for left, right in pairs:
         out = []
-        for a, b in zip(split(left), split(right), strict=True):
-            both = np.concatenate([a, b])
-            both.sort(kind="stable")
-            out.append(int((both[1:] == both[:-1]).sum()))
-        yield pa.array(out, pa.int64())
+        for a, b in zip(_split(left), _split(right), strict=True):
+            both = np.sort(np.concatenate([a, b]))
+            twice = both[1:] == both[:-1]
+            out.append(both[~(np.append(twice, False) | np.append(False, twice)[: len(both)])])
+        ends = np.concatenate([[0], np.cumsum([len(x) for x in out])]).astype(np.int32)
+        yield pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *out])))
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """a, b and whether the full sets reach the similarity."""
+def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """pairs with diff, the shingles of exactly one of the sets of a and b."""
     one = lambda s: sets.select(F.col("rep").alias(s), F.col("members").alias(f"set_{s}"))
-    both = pairs.select("a", "b").join(one("a"), "a").join(one("b"), "b")
-    common = both.select("a", "b", (F.size("set_a") + F.size("set_b")).cast("long").alias("sum"), F.arrow_udf(_common, "long")("set_a", "set_b").alias("common"))
-    return common.select("a", "b", (100 * F.col("common") >= percent * (F.col("sum") - F.col("common"))).alias("linked"))
+    both = pairs.join(one("a"), "a").join(one("b"), "b")
+    return both.select(*pairs.columns, F.arrow_udf(_differences, "array<long>")("set_a", "set_b").alias("diff"))
+
+
+def _reaches(differ: Column, sizes: Column, percent: int) -> Column:
+    """100 * intersection >= percent * union, from the number of differences and the sum of both sizes."""
+    return (100 + percent) * differ <= (100 - percent) * sizes
 
 
 def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
@@ -140,14 +145,15 @@ def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
     bands = cut(classes.select("rep", "n", F.posexplode("sketch").alias("band", "bucket")), "mh-bands")
     members = _members(bands)
     discard(bands)
-    ids = members.select(F.col("rep"), F.col("n").alias("size")).distinct()
+    ids = members.select("rep", F.col("n").alias("size")).unionByName(members.select(F.col("pivot").alias("rep"), F.col("pn").alias("size"))).distinct()
     picked = docs.join(ids, F.col("doc_id") == F.col("rep")).select("rep", "size", _set_udf(words)("text").alias("members"))
     # rows with one doc_id and different texts: any one whose set has the class's size
     sets = cut(picked.filter(F.size("members") == F.col("size")).select("rep", "members").dropDuplicates(["rep"]), "mh-sets")
-    links = _pivot_links(members, sets, percent)
-    more = _remaining_links(members, sets, components(links), percent)
+    around = _around_pivots(members, sets)
+    links = cut(around.filter(_reaches(F.col("d"), F.col("n") + F.col("pn"), percent)).select(F.col("rep").alias("a"), F.col("pivot").alias("b")), "mh-links")
+    more = _remaining_links(around, sets, components(links), percent)
     labels = components(links.unionByName(more))
-    discard(members, sets, links, more)
+    discard(members, sets, around, links, more)
     reps = cut(base.filter("n > 0 and doc_id is not null").groupBy(*key).agg(F.min("doc_id").alias("rep")).join(labels, F.col("rep") == F.col("node"), "left").select(*key, F.coalesce("component", "rep").alias("component")), "mh-reps")
     out = base.drop("sketch").join(reps, key, "left")
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
@@ -155,87 +161,73 @@ def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
 
 
 def _members(bands: DataFrame) -> DataFrame:
-    """The classes of every bucket with more than one, and up to PIVOTS central ones of each."""
+    """Every class with the pivots of its buckets: in a bucket, the class with the most company in all of its own."""
     full = bands.groupBy("band", "bucket").agg(F.count("*").alias("held")).filter("held > 1")
     rows = cut(bands.join(apart(full), ["band", "bucket"]), "mh-shared")
     weight = rows.groupBy("rep").agg(F.sum("held").alias("weight"))
     rows_w = cut(rows.join(weight, "rep"), "mh-weighted")
-    part = F.pmod(F.xxhash64("rep"), F.lit(PIVOTS))
-    best = rows_w.groupBy("band", "bucket").agg(*[F.max(F.when(part == k, F.struct("weight", "rep"))).alias(f"p{k}") for k in range(PIVOTS)])
-    out = cut(rows_w.join(apart(best), ["band", "bucket"]).select("band", "bucket", "rep", "n", "weight", *[f"p{k}" for k in range(PIVOTS)]), "mh-members")
+    best = rows_w.groupBy("band", "bucket").agg(F.max(F.struct("weight", "rep", "n")).alias("p"))
+    out = rows_w.join(apart(best), ["band", "bucket"]).filter("rep <> p.rep").select("rep", "n", F.col("p.rep").alias("pivot"), F.col("p.n").alias("pn"))
+    out = cut(out.distinct(), "mh-members")
     discard(rows, rows_w)
     return out
 
 
-def _pivot_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links of classes with their most central pivots, one pivot after another."""
-    links, open_ids = None, None
-    done = []
-    for k in range(PIVOTS):
-        near = members.filter(F.col(f"p{k}").isNotNull() & (F.col(f"p{k}.rep") != F.col("rep")))
-        if open_ids is not None:
-            near = near.join(open_ids, "rep", "left_anti")
-        pairs = near.groupBy("rep").agg(F.max(f"p{k}").alias("p")).select(F.col("rep").alias("a"), F.col("p.rep").alias("b"))
-        tried = cut(_verified(pairs, sets, percent), "mh-tried")
-        done.append(tried)
-        found = tried.filter("linked").select("a", "b")
-        links = found if links is None else links.unionByName(found)
-        open_ids = links.select(F.col("a").alias("rep")).distinct()
-    out = cut(links, "mh-links")
-    discard(*done)
-    return out
+def _around_pivots(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """Members with d, the number of their differences from the pivot, and these where a pivot has several members."""
+    several = members.groupBy("pivot").agg(F.count("*").alias("others"))
+    pairs = members.join(apart(several), "pivot").select(F.col("rep").alias("a"), F.col("pivot").alias("b"), "n", "pn", "others")
+    diff = _compared(pairs, sets).select(F.col("a").alias("rep"), F.col("b").alias("pivot"), "n", "pn", "others", "diff")
+    return cut(diff.select("rep", "pivot", "n", "pn", F.size("diff").cast("long").alias("d"), F.when(F.col("others") > 1, F.col("diff")).alias("diff")), "mh-around")
 
 
-def _remaining_links(members: DataFrame, sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """Links between candidates of different components."""
-    rows = members.select("band", "bucket", "rep", "n").join(labels, F.col("rep") == F.col("node"), "left")
-    rows = rows.select("band", "bucket", "rep", "n", F.coalesce("component", "rep").alias("component"))
-    mixed = rows.groupBy("band", "bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("band", "bucket")
-    rows = cut(rows.join(apart(mixed), ["band", "bucket"]), "mh-mixed")
-    owners = rows.select("rep", "n", "component").distinct()
-    held = sets.join(owners, "rep").select("rep", F.explode("members").alias("shingle"))
-    alone = held.groupBy("shingle").agg(F.count("*").alias("f"), F.min("rep").alias("rep")).filter("f = 1").groupBy("rep").agg(F.count("*").alias("alone"))
-    # a set can reach the similarity with some other only if n - alone >= percent / 100 of its own size
-    able = owners.join(alone, "rep", "left").filter(100 * (F.col("n") - F.coalesce("alone", F.lit(0))) >= percent * F.col("n")).drop("alone")
-    prefix = cut(_prefixes(sets, able, percent), "mh-prefix")
-    pairs = _sharing_prefix(prefix, percent)
-    out = cut(_verified(pairs, sets, percent).filter("linked").select("a", "b"), "mh-more")
-    discard(rows, prefix)
+def _remaining_links(around: DataFrame, sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """Links between candidates of different components; of both, the pivot's own links are known."""
+    rows = around.filter("diff is not null").join(labels, F.col("rep") == F.col("node"), "left").withColumn("component", F.coalesce("component", "rep")).drop("node")
+    mixed = rows.groupBy("pivot").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("pivot")
+    placed = cut(_placed(rows.join(apart(mixed), "pivot"), percent), "mh-placed")
+    pairs = cut(_sharing_differences(placed, percent), "mh-pairs")
+    found = _compared(pairs, sets).filter(_reaches(F.size("diff"), F.col("na") + F.col("nb"), percent))
+    out = cut(found.select("a", "b"), "mh-more")
+    discard(placed, pairs)
     return out
 
 
-def _prefixes(sets: DataFrame, owners: DataFrame, percent: int) -> DataFrame:
-    """The shingles of each set, rarest first, up to the last place where a first one in common leaves the similarity
-    possible; those of no other set take their places but make no rows."""
-    held = cut(sets.join(owners, "rep").select("rep", "n", "component", F.explode("members").alias("shingle")), "mh-held")
-    often = held.groupBy("shingle").agg(F.count("*").alias("f")).filter("f > 1")
-    own = Window.partitionBy("rep")
-    placed = held.join(apart(often), "shingle").withColumn("place", F.row_number().over(own.orderBy("f", "shingle")))
-    placed = placed.withColumn("place", F.col("n") - F.count("*").over(own) + F.col("place"))
-    return placed.filter(100 * (F.col("n") - F.col("place") + 1) >= percent * F.col("n")).select("rep", "n", "component", "shingle", "place")
+def _placed(rows: DataFrame, percent: int) -> DataFrame:
+    """The differences of each member from its pivot that may be the first one that it shares with another member.
 
-
-def _sharing_prefix(prefix: DataFrame, percent: int) -> DataFrame:
-    """Distinct pairs a < b of different components that can reach the similarity, judged by places and sizes.
-
-    When the first shingle in common, rarest first, is at place i of n and j of m, the sets have at most
-    1 + min(n - i, m - j) in common. Rows are grouped by shingle and both sizes, and groups of a single component
-    are left out: copies that could link with a group's pivot are linked with it, so that what is common to a group
-    of one length makes no pairs. Copies of many lengths are pruned less: there pairs can still grow faster than the group.
+    Both sets of a pair differ where exactly one of them differs from the pivot, so the pair reaches the similarity
+    if it shares at least (e + e') / (2 * (100 + percent)) differences, e = (100 + percent) * d - (100 - percent) * n.
+    A member is linked with the pivot if e <= (100 - percent) * pn; two linked ones are in one component. So one of the
+    pair is not, and e' > (100 - percent) * pn of it; of any set e' >= -(100 - percent) * pn. Differences are ordered
+    rarest first; those that no pair of different components can share take the first places but make no rows.
+    """
+    excess = (100 + percent) * F.col("d") - (100 - percent) * F.col("n")
+    bound = (100 - percent) * F.col("pn")
+    rows = rows.withColumn("e", excess).withColumn("near", F.col("e") <= bound)
+    held = cut(rows.select("pivot", "rep", "n", "pn", "d", "e", "near", "component", F.explode("diff").alias("shingle")), "mh-held")
+    useful = held.groupBy("pivot", "shingle").agg(F.count("*").alias("f"), F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("near").alias("all_near"))
+    useful = useful.filter("lo <> hi and not all_near").select("pivot", "shingle", "f")
+    own = Window.partitionBy("pivot", "rep")
+    placed = held.join(apart(useful), ["pivot", "shingle"]).withColumn("place", F.row_number().over(own.orderBy("f", "shingle")))
+    placed = placed.withColumn("place", F.col("d") - F.count("*").over(own) + F.col("place"))
+    least = F.col("e") + F.when(F.col("near"), bound + 1).otherwise(-bound)
+    return placed.filter(2 * (100 + percent) * (F.col("d") - F.col("place") + 1) >= least).select("pivot", "shingle", "rep", "n", "component", "d", "e", "near", "place")
+
+
+def _sharing_differences(placed: DataFrame, percent: int) -> DataFrame:
+    """Distinct pairs a < b of different components that can share enough differences from a pivot.
+
+    When the first one shared, rarest first, is at place i of d and j of d', at most 1 + min(d - i, d' - j) are shared.
     """
-    reaches = lambda most, n, m: (100 + percent) * most >= percent * (n + m)
-    sizes = prefix.select("shingle", F.col("n").alias("other")).distinct()
-    n, m = F.col("n"), F.col("other")
-    fits = (100 * F.least(n, m) >= percent * F.greatest(n, m)) & reaches(n - F.col("place") + 1, n, m)
-    rows = cut(prefix.join(apart(sizes), "shingle").filter(fits).select("shingle", F.least(n, m).alias("low"), F.greatest(n, m).alias("high"), "rep", "n", "component", "place"), "mh-sized")
-    key = ["shingle", "low", "high"]
-    mixed = rows.groupBy(*key).agg(F.min("component").alias("c1"), F.max("component").alias("c2")).filter("c1 <> c2").select(*key)
-    rows = rows.join(apart(mixed), key)
-    left, right = rows.filter("n = low"), rows.filter("n = high").select(*key, *[F.col(c).alias(f"{c}_2") for c in ("rep", "component", "place")])
-    ordered = (F.col("low") < F.col("high")) | (F.col("rep") < F.col("rep_2"))
-    most = 1 + F.least(F.col("low") - F.col("place"), F.col("high") - F.col("place_2"))
-    pairs = left.join(right, key).filter(ordered & (F.col("component") != F.col("component_2")) & reaches(most, F.col("low"), F.col("high")))
-    return pairs.select(F.least("rep", "rep_2").alias("a"), F.greatest("rep", "rep_2").alias("b")).distinct()
+    left = placed.filter("not near").drop("near")
+    right = placed.select("pivot", "shingle", "near", *[F.col(c).alias(f"{c}_2") for c in ("rep", "n", "component", "d", "e", "place")])
+    most = 1 + F.least(F.col("d") - F.col("place"), F.col("d_2") - F.col("place_2"))
+    fits = 2 * (100 + percent) * most >= F.col("e") + F.col("e_2")
+    once = F.col("near") | (F.col("rep") < F.col("rep_2"))
+    pairs = left.join(right, ["pivot", "shingle"]).filter(once & (F.col("component") != F.col("component_2")) & fits)
+    first = F.col("rep") < F.col("rep_2")
+    return pairs.select(F.least("rep", "rep_2").alias("a"), F.greatest("rep", "rep_2").alias("b"), F.when(first, F.col("n")).otherwise(F.col("n_2")).alias("na"), F.when(first, F.col("n_2")).otherwise(F.col("n")).alias("nb")).distinct()
 
 
 def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **limits) -> DataFrame:
