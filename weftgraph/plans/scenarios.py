@@ -9,12 +9,13 @@ from weftgraph.operators import scenario as S
 from weftgraph.plans.core import _t, query
 from weftgraph.sources.files import without_dangling
 
-PHRASES = "t AS (SELECT DISTINCT p_name AS d, unnest(string_split_regex(lower(p_name), '[\\s_-]+')) AS w FROM part)"
+PHRASES = "t AS (SELECT DISTINCT d, unnest(string_split_regex(lower(d), '[\\s_-]+')) AS w FROM (SELECT p_name || ' ' || p_type || ' ' || p_brand AS d FROM part))"
 
 
 @query("fuzzy_kp_match", f"WITH {PHRASES}, n AS (SELECT d, count(*) AS n FROM t GROUP BY d), p AS (SELECT x.d AS a, y.d AS b, count(*) AS k FROM t x JOIN t y ON x.w = y.w AND x.d < y.d GROUP BY x.d, y.d) SELECT a, b, CASE WHEN length(b) < length(a) THEN b ELSE a END AS canonical FROM p JOIN n u ON u.d = a JOIN n v ON v.d = b WHERE k / (u.n + v.n - k) >= 0.6")
 def _(s, d):
-    rows = _t(s, d, "part").select(F.col("p_name").alias("d"), F.explode(F.split(F.lower("p_name"), r"[\s_-]+")).alias("w"))
+    phrases = _t(s, d, "part").select(F.concat_ws(" ", "p_name", "p_type", "p_brand").alias("d"))
+    rows = phrases.select("d", F.explode(F.split(F.lower("d"), r"[\s_-]+")).alias("w"))
     pairs = G.jaccard_join(rows, "d", "w", 0.6)
     return pairs.select("a", "b", F.when(F.length("b") < F.length("a"), F.col("b")).otherwise(F.col("a")).alias("canonical"))
 
