@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,6 +42,90 @@ def shared_pairs(rows: DataFrame, doc: str, item: str, least: int = 1) -> DataFr
     return left.join(right, item).filter("a < b").groupBy("a", "b").agg(F.count("*").alias("shared")).filter(F.col("shared") >= least)
 
 
+def too_common(sets: DataFrame, items: str, least: float = 0.693) -> list[str]:
+    """Items that idf_prune takes away, from sets of distinct items: ln(n / df) < least, n being the sets that hold any.
+
+    Each is in more than a fixed share of the sets, so they number at most 2 (e ** least) times the mean size of a set.
+    """
+    n = sets.filter(F.size(items) > 0).count()
+    df = sets.select(F.explode(items).alias("i")).groupBy("i").agg(F.count("*").alias("df"))
+    return [r.i for r in df.filter(F.ln(F.lit(n) / F.col("df")) < least).collect()] if n > 1 else []
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df, written to the folder that all machines share and read again, so that it is made once."""
+    spark = df.sparkSession
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    path = f"{(named or tempfile.gettempdir() + '/weftgraph-shared').rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _kth(found: list[tuple[int, int]], k: int) -> int:
+    """The k-th largest of values that each stand for a number of pairs; 1 if there are fewer."""
+    for value, pairs in sorted(found, reverse=True):
+        k -= pairs
+        if k <= 0:
+            return max(1, value)
+    return 1
+
+
+def top_shared_pairs(sets: DataFrame, node: str, doc: str, items: str, k: int) -> DataFrame:
+    """The k pairs a < b of nodes of different documents that share most items, ties by a and b: exact.
+
+    sets has one row per node, with distinct items. Nodes with equal sets are one class, and classes are paired. Pairs that
+    are easily found (equal sets, and the two ends of an item's classes) give a count that k pairs reach; below it nothing
+    can be among the first k, so a pair of classes must share an item among each one's first m - count + 1 of its m shared
+    items, rarest first. What that proposes is counted in full. Of a class in a result, the first k nodes of each of its
+    first k + 1 documents are enough: before any other one, k nodes of the class pair with the same partner.
+    """
+    full = sets.select(F.col(node).alias("node"), F.col(doc).alias("doc"), F.array_sort(items).alias("items")).withColumn("n", F.size("items")).filter("n > 0")
+    keyed = full.withColumn("cls", F.md5(F.encode(F.to_json("items"), "UTF-8")))
+    rows = written(keyed.drop("items"), "top-rows")
+    alike = written(rows.groupBy("cls").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.min("node").alias("node"), F.first("n").alias("n")), "top-alike")
+    copies = alike.filter("lo <> hi").select("cls", F.col("n").alias("shared"))
+    equal = [(r.shared, 1) for r in copies.orderBy(F.desc("shared")).limit(k).collect()]
+    # smaller classes can't reach the count; only of the others sets are carried, each one's once
+    large = alike.filter(F.col("n") >= _kth(equal, k)).select("cls", "lo", "hi", "node")
+    classes = written(large.join(full.filter(F.col("n") >= _kth(equal, k)).select("node", "items", "n"), "node").drop("node"), "top-classes")
+
+    def held(least: int) -> DataFrame:
+        return classes.filter(F.col("n") >= least).select("cls", "lo", "hi", F.explode("items").alias("i"))
+
+    def counted(pairs: DataFrame, least: int) -> DataFrame:
+        one = lambda s: classes.filter(F.col("n") >= least).select(F.col("cls").alias(s), F.col("items").alias(f"items_{s}"))
+        return pairs.join(one("x"), "x").join(one("y"), "y").select("x", "y", F.size(F.array_intersect("items_x", "items_y")).alias("shared"))
+
+    ends = held(_kth(equal, k)).groupBy("i").agg(F.min(F.struct("cls", "lo", "hi")).alias("p"), F.max(F.struct("cls", "lo", "hi")).alias("q"))
+    ends = ends.filter("p.cls <> q.cls and (p.lo <> q.hi or p.hi <> q.lo)").groupBy(F.col("p.cls").alias("x"), F.col("q.cls").alias("y")).agg(F.count("*").alias("seen"))
+    likely = ends.orderBy(F.desc("seen"), "x", "y").limit(10 * k).select("x", "y")
+    least = _kth(equal + [(r.shared, 1) for r in counted(F.broadcast(likely), 1).collect()], k)
+
+    some = held(least)
+    freq = some.groupBy("i").agg(F.count("*").alias("f")).filter("f > 1")
+    own = Window.partitionBy("cls")
+    ranked = some.join(freq, "i").withColumn("m", F.count("*").over(own)).withColumn("place", F.row_number().over(own.orderBy("f", "i")))
+    first = written(ranked.filter(F.col("place") <= F.col("m") - least + 1).select("cls", "lo", "hi", "i", "m", "place"), "top-first")
+    left, right = [first.select("i", *[F.col(c).alias(f"{c}_{s}") for c in ("cls", "lo", "hi", "m", "place")]) for s in "xy"]
+    rest = 1 + F.least(F.col("m_x") - F.col("place_x"), F.col("m_y") - F.col("place_y"))
+    near = left.join(right, "i").filter((F.col("cls_x") < F.col("cls_y")) & ((F.col("lo_x") != F.col("hi_y")) | (F.col("hi_x") != F.col("lo_y"))))
+    # an item is the first one shared only where enough places follow it; a pair's first one passes
+    near = near.filter(rest >= least).select(F.col("cls_x").alias("x"), F.col("cls_y").alias("y")).distinct()
+    found = counted(near, least).unionByName(copies.select(F.col("cls").alias("x"), F.col("cls").alias("y"), "shared"))
+    found = written(found.filter(F.col("shared") >= least), "top-found")
+    least = _kth([(r.shared, 1) for r in found.orderBy(F.desc("shared")).limit(k).collect()], k)
+    found = found.filter(F.col("shared") >= least)
+
+    named = found.select(F.col("x").alias("cls")).union(found.select("y")).distinct()
+    nodes = rows.select("cls", "doc", "node").join(named, "cls").withColumn("nth", F.row_number().over(Window.partitionBy("cls", "doc").orderBy("node"))).filter(F.col("nth") <= k)
+    per_doc = nodes.groupBy("cls", "doc").agg(F.min("node").alias("first"), F.collect_list("node").alias("nodes"))
+    per_doc = per_doc.withColumn("nth", F.row_number().over(Window.partitionBy("cls").orderBy("first"))).filter(F.col("nth") <= k + 1)
+    kept = per_doc.select("cls", "doc", F.explode("nodes").alias("node"))
+    left, right = [kept.select(F.col("cls").alias(s), F.col("doc").alias(f"doc_{s}"), F.col("node").alias(f"node_{s}")) for s in "xy"]
+    out = found.join(left, "x").join(right, "y").filter("doc_x <> doc_y and (x <> y or node_x < node_y)")
+    return out.select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b"), "shared").orderBy(F.desc("shared"), "a", "b").limit(k)
+
+
 def jaccard_join(rows: DataFrame, doc: str, item: str, least: float) -> DataFrame:
     """a < b and their Jaccard similarity, at least `least` (> 0): prefix filter, then exact counts.
 

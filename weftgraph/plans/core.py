@@ -392,15 +392,20 @@ def _(s, d):
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:
-    """Chunks, keyphrases, IDF, shared phrases, triplets, rank: the 20 best pairs of chunks of different documents."""
+    """Chunks, keyphrases, IDF, shared phrases, rank: the 20 best pairs of chunks of different documents.
+
+    A keyphrase is any word that G.post_filter leaves without a list of banned ones: three characters or more, not all digits.
+    """
     docs = _t(spark, d, "documents")
     chunks = M.split_long(docs, "doc_id", "text", 256).filter("token_count >= 50").withColumn("chunk", F.concat_ws(":", "doc_id", "piece"))
-    words = chunks.select("chunk", F.explode(F.array_distinct(T.tokens(F.lower("content")))).alias("w")).filter(F.length("w") >= 12)
-    # phrases in 2 to 20 chunks: what is more common says nothing, what is rarer links nothing
-    useful = words.groupBy("w").agg(F.count("*").alias("df")).filter(F.col("df").between(2, 20)).select("w")
-    pairs = G.shared_pairs(words.join(useful, "w"), "chunk", "w")
-    apart = pairs.filter(F.substring_index("a", ":", 1) != F.substring_index("b", ":", 1))
-    return apart.orderBy(F.desc("shared"), "a", "b").limit(20)
+    words = F.filter(F.array_distinct(T.tokens(F.lower("content"))), lambda w: (F.length(w) >= 3) & ~w.rlike("^[0-9]+$"))
+    sets = chunks.select("chunk", words.alias("words"))
+    if not docs.groupBy("doc_id").count().filter("count > 1").isEmpty():
+        sets = sets.groupBy("chunk").agg(F.array_distinct(F.flatten(F.collect_list("words"))).alias("words"))
+    sets = G.written(sets, "flagship-words")
+    common = F.array(*[F.lit(w) for w in G.too_common(sets, "words")]).cast("array<string>")
+    pruned = sets.select("chunk", F.substring_index("chunk", ":", 1).alias("doc"), F.array_except("words", common).alias("words"))
+    return G.top_shared_pairs(pruned, "chunk", "doc", "words", 20)
 
 
 register("flagship", flagship)
