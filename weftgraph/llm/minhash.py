@@ -89,21 +89,30 @@ def _sketch_udf(words: int):
             for k in range(0, len(sets), 512):
                 bands += sketches(sets[k : k + 512]).view(np.int64).tolist()
             for s in sets:
-                keys.append((int(s.sum().view(np.int64)) if len(s) else 0, int(mix(s).sum().view(np.int64)) if len(s) else 0))
+                keys.append(_keys(s))
             yield pa.array([{"n": len(s), "key1": k1, "key2": k2, "sketch": b} for s, (k1, k2), b in zip(sets, keys, bands, strict=True)], _SKETCH)
 
     return F.arrow_udf(run, "n long, key1 long, key2 long, sketch array<long>").asNondeterministic()
 
 
+_SET = pa.struct([("key1", pa.int64()), ("key2", pa.int64()), ("members", pa.list_(pa.int64()))])
+
+
+def _keys(s: np.ndarray) -> tuple[int, int]:
+    return (int(s.sum().view(np.int64)), int(mix(s).sum().view(np.int64))) if len(s) else (0, 0)
+
+
 def _set_udf(words: int):
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for col in batches:
             data, at = column_bytes(col)
-            sets = [np.sort(s.view(np.int64)) for lo, hi in slices(at) for s in shingle_sets(data[at[lo] : at[hi]], at[lo : hi + 1] - at[lo], words)]
+            hashes = [s for lo, hi in slices(at) for s in shingle_sets(data[at[lo] : at[hi]], at[lo : hi + 1] - at[lo], words)]
+            keys, sets = [_keys(s) for s in hashes], [np.sort(s.view(np.int64)) for s in hashes]
             ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
-            yield pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *sets])))
+            members = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *sets])))
+            yield pa.StructArray.from_arrays([pa.array([k[i] for k in keys], pa.int64()) for i in (0, 1)] + [members], fields=list(_SET))
 
-    return F.arrow_udf(run, "array<long>").asNondeterministic()
+    return F.arrow_udf(run, "key1 long, key2 long, members array<long>").asNondeterministic()
 
 
 def _split(col: pa.Array) -> list[np.ndarray]:
@@ -124,10 +133,10 @@ def _differences(pairs: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Arra
 
 
 def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """pairs with diff, the shingles of exactly one of the sets of a and b."""
-    one = lambda s: sets.select(F.col("rep").alias(s), F.col("members").alias(f"set_{s}"))
+    """pairs with diff, the shingles of exactly one of the sets of a and b, and the documents that stand for both."""
+    one = lambda s: sets.select(F.col("rep").alias(s), F.col("doc").alias(f"doc_{s}"), F.col("members").alias(f"set_{s}"))
     both = pairs.join(one("a"), "a").join(one("b"), "b")
-    return both.select(*pairs.columns, F.arrow_udf(_differences, "array<long>")("set_a", "set_b").alias("diff"))
+    return both.select(*pairs.columns, "doc_a", "doc_b", F.arrow_udf(_differences, "array<long>")("set_a", "set_b").alias("diff"))
 
 
 def _reaches(differ: Column, sizes: Column, percent: int) -> Column:
@@ -141,22 +150,33 @@ def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
     docs = two_columns(df, id_col, text_col)
     base = cut(docs.select("doc_id", _sketch_udf(words)("text").alias("s")).select("doc_id", "s.*"), "mh-sketch")
     key = ["n", "key1", "key2"]
-    classes = base.filter("n > 0 and doc_id is not null").groupBy(*key).agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch"))
+    # a class is known by a number of its own: rows with one doc_id can have texts of different classes
+    classes = base.filter("n > 0 and doc_id is not null").groupBy(*key).agg(F.min("doc_id").alias("doc"), F.first("sketch").alias("sketch"))
+    classes = cut(classes.withColumn("rep", F.monotonically_increasing_id()), "mh-classes")
     bands = cut(classes.select("rep", "n", F.posexplode("sketch").alias("band", "bucket")), "mh-bands")
     members = _members(bands)
     discard(bands)
-    ids = members.select("rep", F.col("n").alias("size")).unionByName(members.select(F.col("pivot").alias("rep"), F.col("pn").alias("size"))).distinct()
-    picked = docs.join(ids, F.col("doc_id") == F.col("rep")).select("rep", "size", _set_udf(words)("text").alias("members"))
-    # rows with one doc_id and different texts: any one whose set has the class's size
-    sets = cut(picked.filter(F.size("members") == F.col("size")).select("rep", "members").dropDuplicates(["rep"]), "mh-sets")
+    ids = members.select("rep").unionByName(members.select(F.col("pivot").alias("rep"))).distinct()
+    wanted = classes.join(ids, "rep").select("rep", "doc", F.col("key1").alias("k1"), F.col("key2").alias("k2"), F.col("n").alias("size"))
+    picked = docs.join(wanted, F.col("doc_id") == F.col("doc")).select("rep", "doc", "size", "k1", "k2", _set_udf(words)("text").alias("s"))
+    # of rows with one doc_id and different texts those with the class's own set, any one of them
+    own_set = (F.size("s.members") == F.col("size")) & (F.col("s.key1") == F.col("k1")) & (F.col("s.key2") == F.col("k2"))
+    sets = cut(picked.filter(own_set).select("rep", "doc", "s.members").dropDuplicates(["rep"]), "mh-sets")
+    # documents with several sets: each of their classes is linked with them
+    several = base.filter("doc_id is not null").groupBy("doc_id").agg(F.min(F.struct(*key)).alias("lo"), F.max(F.struct(*key)).alias("hi")).filter("lo <> hi").select("doc_id")
+    mixed = cut(base.drop("sketch").join(several, "doc_id").join(classes.select(*key, "doc"), key).select("doc_id", "doc").distinct(), "mh-mixed")
+    same = mixed.filter("doc_id <> doc").select(F.col("doc_id").alias("a"), F.col("doc").alias("b"))
     around = _around_pivots(members, sets)
-    links = cut(around.filter(_reaches(F.col("d"), F.col("n") + F.col("pn"), percent)).select(F.col("rep").alias("a"), F.col("pivot").alias("b")), "mh-links")
+    near = around.filter(_reaches(F.col("d"), F.col("n") + F.col("pn"), percent) & (F.col("doc") != F.col("pdoc")))
+    links = cut(near.select(F.col("doc").alias("a"), F.col("pdoc").alias("b")).unionByName(same), "mh-links")
     more = _remaining_links(around, sets, components(links), percent)
-    labels = components(links.unionByName(more))
+    labels = cut(components(links.unionByName(more)), "mh-labels")
     discard(members, sets, around, links, more)
-    reps = cut(base.filter("n > 0 and doc_id is not null").groupBy(*key).agg(F.min("doc_id").alias("rep")).join(labels, F.col("rep") == F.col("node"), "left").select(*key, F.coalesce("component", "rep").alias("component")), "mh-reps")
-    out = base.drop("sketch").join(reps, key, "left")
-    own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
+    reps = cut(classes.select(*key, "doc").join(labels, F.col("doc") == F.col("node"), "left").select(*key, F.coalesce("component", "doc").alias("component")), "mh-reps")
+    # an empty text beside others with its doc_id is of their component
+    beside = mixed.join(labels, F.col("doc_id") == F.col("node"), "left").groupBy("doc_id").agg(F.min(F.coalesce("component", "doc")).alias("beside"))
+    out = base.drop("sketch").join(reps, key, "left").join(beside, "doc_id", "left")
+    own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "beside", "doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), F.col("doc_id").eqNullSafe(own).alias("kept"))
 
 
@@ -174,21 +194,21 @@ def _members(bands: DataFrame) -> DataFrame:
 
 
 def _around_pivots(members: DataFrame, sets: DataFrame) -> DataFrame:
-    """Members with d, the number of their differences from the pivot, and these where a pivot has several members."""
+    """Members with their documents and d, the number of their differences from the pivot, and these where a pivot has several members."""
     several = members.groupBy("pivot").agg(F.count("*").alias("others"))
     pairs = members.join(apart(several), "pivot").select(F.col("rep").alias("a"), F.col("pivot").alias("b"), "n", "pn", "others")
-    diff = _compared(pairs, sets).select(F.col("a").alias("rep"), F.col("b").alias("pivot"), "n", "pn", "others", "diff")
-    return cut(diff.select("rep", "pivot", "n", "pn", F.size("diff").cast("long").alias("d"), F.when(F.col("others") > 1, F.col("diff")).alias("diff")), "mh-around")
+    diff = _compared(pairs, sets).select(F.col("a").alias("rep"), F.col("b").alias("pivot"), F.col("doc_a").alias("doc"), F.col("doc_b").alias("pdoc"), "n", "pn", "others", "diff")
+    return cut(diff.select("rep", "pivot", "doc", "pdoc", "n", "pn", F.size("diff").cast("long").alias("d"), F.when(F.col("others") > 1, F.col("diff")).alias("diff")), "mh-around")
 
 
 def _remaining_links(around: DataFrame, sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     """Links between candidates of different components; of both, the pivot's own links are known."""
-    rows = around.filter("diff is not null").join(labels, F.col("rep") == F.col("node"), "left").withColumn("component", F.coalesce("component", "rep")).drop("node")
+    rows = around.filter("diff is not null").join(labels, F.col("doc") == F.col("node"), "left").withColumn("component", F.coalesce("component", "doc")).drop("node")
     mixed = rows.groupBy("pivot").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("pivot")
     placed = cut(_placed(rows.join(apart(mixed), "pivot"), percent), "mh-placed")
     pairs = cut(_sharing_differences(placed, percent), "mh-pairs")
     found = _compared(pairs, sets).filter(_reaches(F.size("diff"), F.col("na") + F.col("nb"), percent))
-    out = cut(found.select("a", "b"), "mh-more")
+    out = cut(found.select(F.col("doc_a").alias("a"), F.col("doc_b").alias("b")), "mh-more")
     discard(placed, pairs)
     return out
 
