@@ -21,13 +21,14 @@ from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 import regex
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from weftgraph.llm.common import bounded_batches
-from weftgraph.llm.textbytes import BYTE_VALUE, Rolling, column_bytes, mix, slices
+from weftgraph.llm.textbytes import AS_IS, Spans, column_bytes, mix, slices
 
 #: Merged pre-tokens that a worker remembers, in two halves of so many (about 250 bytes each).
 MEMO = 250_000
@@ -156,7 +157,7 @@ class Codec:
         self.sizes = np.array([len(t) for t in self.tokens], np.int64)
         self.begin = np.concatenate([[0], np.cumsum(self.sizes)])
         self.flat = np.frombuffer(b"".join(self.tokens), np.uint8)
-        keys = Rolling(self.flat, BYTE_VALUE).of(self.begin[:-1], self.begin[1:])
+        keys = Spans(self.flat, AS_IS).of(self.begin[:-1], self.begin[1:])
         self.mph = PerfectHash(keys)
         slot = self.mph(keys)
         self.slot_id, self.slot_key = np.empty(len(keys), np.int64), np.empty(len(keys), np.uint64)
@@ -201,7 +202,7 @@ class Codec:
         starts = np.concatenate([token_starts(points[a:b]) + a for a, b in zip(rows[:-1], rows[1:], strict=True) if b > a])
         begin = lead[starts]
         end = np.append(begin[1:], len(data))
-        keys, where = np.unique(Rolling(data, BYTE_VALUE).of(begin, end), return_inverse=True)
+        keys, where = np.unique(Spans(data, AS_IS).of(begin, end), return_inverse=True)
         one = np.empty(len(keys), np.int64)
         one[where] = np.arange(len(begin))
         slot = self.mph(keys)
@@ -225,6 +226,11 @@ class Codec:
 
     def rows(self, data: np.ndarray, at: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """Per row its ids, their decimal form and the decoded bytes."""
+        if self.pattern != public_tokenizers.PATTERN:  # token_starts knows that one only
+            for k in range(len(at) - 1):
+                own = self.plain(data[at[k] : at[k + 1]].tobytes().decode())
+                yield own, self.decimal(own)[:-1], self.decode(own)
+            return
         ids, cut = self.encode(data, at)
         decoded, digits = self.decode(ids), self.decimal(ids)
         size = np.concatenate([[0], np.cumsum(self.sizes[ids])])[cut]

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftgraph.storage import cut, discard, shared_dir  # noqa: F401  the operators' own import them from here
+
 #: Bytes and rows of an Arrow batch sent to a Python worker, so that a worker's memory stays bounded.
 BATCH_BYTES = 8 << 20
 BATCH_ROWS = 4096
@@ -23,30 +22,6 @@ def bounded_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all machines share; a folder of our own only where the cluster names none (tests)."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return (named or f"{tempfile.gettempdir()}/weftgraph-shared").rstrip("/")
-
-
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: lineage ends at a copy that outlives executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._wg_path = path
-    return out
-
-
-def discard(*tables: DataFrame) -> None:
-    """Delete tables made by cut() that nothing lazy reads any more."""
-    for df in tables:
-        spark = df.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path(df._wg_path)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def apart(df: DataFrame) -> DataFrame:
     """An aggregate, dealt anew: as the result of an exchange of its own it lets adaptive execution split the
     other side of a join where one key is very common, which it can't above an aggregate by that key."""

@@ -13,7 +13,10 @@ from weftgraph.llm.common import apart, cut, discard
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node, component (smallest node) of every node but the smallest of each component; edges: a, b."""
+    """node, component (smallest node) of every node but the smallest of each component; edges: a, b.
+
+    The result is a table that discard() can delete.
+    """
     now = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "cc")
     mark = None
     while True:
@@ -29,4 +32,6 @@ def components(edges: DataFrame) -> DataFrame:
         now, before = after, mark
         mark = seen.get  # gathered while the pass was written
         if mark == before:
-            return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
+            out = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
+            out._wg_path = now._wg_path
+            return out

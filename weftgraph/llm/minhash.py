@@ -6,13 +6,18 @@ every coordinate gets a value, and coordinates concentrate like independent ones
 of ROWS coordinates make candidates: at the similarity of 0.8 a pair shares none of 32 bands with a
 chance below 5e-8.
 
-Texts with equal sets are one class from the start. Classes that share a band are linked in two
-steps, both confirmed on full sets. First each class is compared with the pivot of each of its buckets, the
-most central member. After the components of those links are known, pairs of different components are
-formed where two members of a pivot's buckets share enough of their differences from that pivot: a prefix
+Texts with equal sets are one class from the start: equal in number and in the sums of two independent 64-bit
+hashes over all shingles. Classes that share a band are linked in two steps, both confirmed on full sets of
+64-bit hashes (two sets of 100,000 shingles have a collision between them with a chance below 1e-9; the hash
+is not linear, so no structure of texts makes one). First each class is compared with the pivot of each of its
+buckets, the most central member. After the components of those links are known, pairs of different components
+are formed where two members of a pivot's buckets share enough of their differences from that pivot: a prefix
 and a positional filter (Chaudhuri et al. 2006, Xiao et al. 2008) on differences, in which what a large group
-has in common does not appear. The filters are exact and all pairs that pass are verified, so no link
-between candidates is lost, while pairs within a component are never formed.
+has in common does not appear. The filters are exact and all pairs that pass are verified, so no link between
+candidates is lost, while pairs within a component are never formed.
+
+Only the texts of classes in shared buckets are read again. They are picked by a bitmap of their ids of at most
+BITMAP_BITS bits, whatever the corpus; ids that only share a bit go in the join behind it.
 
 Defined cases: null, empty or blank texts have the empty set and are linked with nothing; a row with a null
 doc_id is its own component, null; rows with equal doc_id are one node of the graph, each its own row of the
@@ -30,35 +35,41 @@ from pyspark.sql import functions as F
 
 from weftgraph.llm.common import apart, bounded_batches, cut, discard, two_columns
 from weftgraph.llm.components import components
-from weftgraph.llm.textbytes import SPACE, Rolling, column_bytes, mix, runs, slices
+from weftgraph.llm.textbytes import SPACE, Spans, column_bytes, mix, runs, slices
 
 SIZE, ROWS = 128, 4
+#: The bitmap of the ids whose texts are read again: 32 MB at most.
+BITMAP_BITS = 1 << 28
 _EMPTY = np.uint64((1 << 64) - 1)
 _LOW = np.uint64((1 << 48) - 1)
 _SEEDS = np.random.default_rng(3).integers(1, 1 << 63, 2 * SIZE, dtype=np.uint64)
-_STEP = np.random.default_rng(4).integers(1, 1 << 63, 64, dtype=np.uint64) | np.uint64(1)
+_STEP = np.random.default_rng(4).integers(1, 1 << 63, 2, dtype=np.uint64) | np.uint64(1)
 
 
-def shingle_sets(data: np.ndarray, at: np.ndarray, words: int) -> list[np.ndarray]:
-    """Sorted distinct shingle hashes of each row; A-Z count as a-z."""
-    if words > len(_STEP):
-        raise ValueError(f"shingles of at most {len(_STEP)} words")
+def shingle_sets(data: np.ndarray, at: np.ndarray, words: int) -> tuple[list[np.ndarray], list[tuple[int, int]]]:
+    """Sorted distinct shingle hashes of each row, and the sums of two hashes of them; A-Z count as a-z."""
     begin, end = runs(~SPACE[data], at)
-    w = Rolling(data).of(begin, end)
+    w = Spans(data).of(begin, end)
     cut_at = np.searchsorted(begin, at)
-    every = np.zeros(max(0, len(w) - words + 1), np.uint64)
+    # a chain over the words of every shingle: one permutation per word, so that order counts
+    one, two = (np.full(max(0, len(w) - words + 1), step, np.uint64) for step in _STEP)
     for k in range(words):
-        every += w[k : k + len(every)] * _STEP[k]
-    every = mix(every)
-    out = []
+        one = mix(one ^ w[k : k + len(one)]) + _STEP[0]
+        two = mix(two + w[k : k + len(two)]) ^ _STEP[1]
+    sets, keys = [], []
     for a, b in zip(cut_at[:-1], cut_at[1:], strict=True):
         if b - a >= words:
-            out.append(np.unique(every[a : b - words + 1]))
+            own, first = np.unique(one[a : b - words + 1], return_index=True)
+            second = two[a : b - words + 1][first]
         elif b > a:
-            out.append(mix(np.array([(w[a:b] * _STEP[: b - a]).sum() + np.uint64(b - a)], np.uint64)))
+            own, second = _STEP[:1] + np.uint64(b - a), _STEP[1:] + np.uint64(b - a)
+            for k in range(a, b):
+                own, second = mix(own ^ w[k : k + 1]) + _STEP[0], mix(second + w[k : k + 1]) ^ _STEP[1]
         else:
-            out.append(np.zeros(0, np.uint64))
-    return out
+            own = second = np.zeros(0, np.uint64)
+        sets.append(own)
+        keys.append((int(own.sum(dtype=np.uint64).astype(np.int64)), int(second.sum(dtype=np.uint64).astype(np.int64))))
+    return sets, keys
 
 
 def sketches(sets: list[np.ndarray]) -> np.ndarray:
@@ -77,42 +88,29 @@ def sketches(sets: list[np.ndarray]) -> np.ndarray:
     return (mix(best) & np.uint64(0xFFFF)).astype(np.uint16).reshape(n, SIZE)
 
 
-_SKETCH = pa.struct([("n", pa.int64()), ("key1", pa.int64()), ("key2", pa.int64()), ("sketch", pa.list_(pa.int64()))])
+def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
+    ends = np.concatenate([[0], np.cumsum([len(x) for x in arrays])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *arrays])))
 
 
-def _sketch_udf(words: int):
+def _hashed(words: int, with_sketch: bool):
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for col in batches:
             data, at = column_bytes(col)
-            sets = [s for lo, hi in slices(at) for s in shingle_sets(data[at[lo] : at[hi]], at[lo : hi + 1] - at[lo], words)]
-            bands, keys = [], []
-            for k in range(0, len(sets), 512):
-                bands += sketches(sets[k : k + 512]).view(np.int64).tolist()
-            for s in sets:
-                keys.append(_keys(s))
-            yield pa.array([{"n": len(s), "key1": k1, "key2": k2, "sketch": b} for s, (k1, k2), b in zip(sets, keys, bands, strict=True)], _SKETCH)
-
-    return F.arrow_udf(run, "n long, key1 long, key2 long, sketch array<long>").asNondeterministic()
-
-
-_SET = pa.struct([("key1", pa.int64()), ("key2", pa.int64()), ("members", pa.list_(pa.int64()))])
-
-
-def _keys(s: np.ndarray) -> tuple[int, int]:
-    return (int(s.sum().view(np.int64)), int(mix(s).sum().view(np.int64))) if len(s) else (0, 0)
-
-
-def _set_udf(words: int):
-    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for col in batches:
-            data, at = column_bytes(col)
-            hashes = [s for lo, hi in slices(at) for s in shingle_sets(data[at[lo] : at[hi]], at[lo : hi + 1] - at[lo], words)]
-            keys, sets = [_keys(s) for s in hashes], [np.sort(s.view(np.int64)) for s in hashes]
-            ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
-            members = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *sets])))
-            yield pa.StructArray.from_arrays([pa.array([k[i] for k in keys], pa.int64()) for i in (0, 1)] + [members], fields=list(_SET))
-
-    return F.arrow_udf(run, "key1 long, key2 long, members array<long>").asNondeterministic()
+            sizes, keys, arrays = [], [], []
+            for lo, hi in slices(at):
+                sets, both = shingle_sets(data[at[lo] : at[hi]], at[lo : hi + 1] - at[lo], words)
+                sizes += [len(s) for s in sets]
+                keys += both
+                if with_sketch:
+                    for k in range(0, len(sets), 512):
+                        arrays += list(sketches(sets[k : k + 512]).view(np.int64))
+                else:
+                    arrays += [np.sort(s.view(np.int64)) for s in sets]
+            numbers = [pa.array(x, pa.int64()) for x in (sizes, [k for k, _ in keys], [k for _, k in keys])]
+            yield pa.StructArray.from_arrays([*numbers, _lists(arrays)], ["n", "key1", "key2", "sketch" if with_sketch else "members"])
+
+    return F.arrow_udf(run, f"n long, key1 long, key2 long, {'sketch' if with_sketch else 'members'} array<long>").asNondeterministic()
 
 
 def _split(col: pa.Array) -> list[np.ndarray]:
@@ -128,14 +126,14 @@ def _differences(pairs: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Arra
             both = np.sort(np.concatenate([a, b]))
             twice = both[1:] == both[:-1]
             out.append(both[~(np.append(twice, False) | np.append(False, twice)[: len(both)])])
-        ends = np.concatenate([[0], np.cumsum([len(x) for x in out])]).astype(np.int32)
-        yield pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *out])))
+        yield _lists(out)
 
 
 def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """pairs with diff, the shingles of exactly one of the sets of a and b, and the documents that stand for both."""
+    sets = _among(sets, pairs.select(F.explode(F.array("a", "b")).alias("rep")), "rep")
     one = lambda s: sets.select(F.col("rep").alias(s), F.col("doc").alias(f"doc_{s}"), F.col("members").alias(f"set_{s}"))
-    both = pairs.join(one("a"), "a").join(one("b"), "b")
+    both = pairs.join(one("a").hint("merge"), "a").join(one("b").hint("merge"), "b")
     return both.select(*pairs.columns, "doc_a", "doc_b", F.arrow_udf(_differences, "array<long>")("set_a", "set_b").alias("diff"))
 
 
@@ -144,61 +142,103 @@ def _reaches(differ: Column, sizes: Column, percent: int) -> Column:
     return (100 + percent) * differ <= (100 - percent) * sizes
 
 
+def _among(rows: DataFrame, ids: DataFrame, col: str) -> DataFrame:
+    """rows whose col is one of ids, and a few others: by a bitmap of at most BITMAP_BITS."""
+    spark = rows.sparkSession
+    bits = 1 << 16
+    while bits < min(BITMAP_BITS, 16 * ids.count()):
+        bits *= 2
+    slot = F.pmod(F.xxhash64(col), F.lit(bits)) + 1
+    # at most bits / 32768 rows of 4 KB reach the driver
+    filled = ids.select(slot.alias("s")).groupBy(F.bitmap_bucket_number("s").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("s")).alias("b")).toArrow()
+    held = np.zeros(bits // 8, np.uint8)
+    for k, b in zip(filled.column("k").to_pylist(), filled.column("b").to_pylist(), strict=True):
+        held[4096 * (k - 1) : 4096 * k] = np.frombuffer(b, np.uint8)
+    shared = spark.sparkContext.broadcast(held)
+
+    def known(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for col in batches:
+            at = col.to_numpy(zero_copy_only=False) - 1
+            yield pa.array((shared.value[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool))
+
+    return rows.filter(F.col(col).isNotNull()).filter(F.arrow_udf(known, "boolean")(slot))
+
+
 def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
     """A row per document: doc_id, n_shingles, component_id, kept."""
     bounded_batches(df.sparkSession)
     docs = two_columns(df, id_col, text_col)
-    base = cut(docs.select("doc_id", _sketch_udf(words)("text").alias("s")).select("doc_id", "s.*"), "mh-sketch")
+    base = cut(docs.select("doc_id", F.xxhash64("text").alias("print"), _hashed(words, True)("text").alias("s")).select("doc_id", "print", "s.*"), "mh-sketch")
     key = ["n", "key1", "key2"]
     # a class is known by a number of its own: rows with one doc_id can have texts of different classes
-    classes = base.filter("n > 0 and doc_id is not null").groupBy(*key).agg(F.min("doc_id").alias("doc"), F.first("sketch").alias("sketch"))
-    classes = cut(classes.withColumn("rep", F.monotonically_increasing_id()), "mh-classes")
-    bands = cut(classes.select("rep", "n", F.posexplode("sketch").alias("band", "bucket")), "mh-bands")
-    members = _members(bands)
-    discard(bands)
-    ids = members.select("rep").unionByName(members.select(F.col("pivot").alias("rep"))).distinct()
-    wanted = classes.join(ids, "rep").select("rep", "doc", F.col("key1").alias("k1"), F.col("key2").alias("k2"), F.col("n").alias("size"))
-    picked = docs.join(wanted, F.col("doc_id") == F.col("doc")).select("rep", "doc", "size", "k1", "k2", _set_udf(words)("text").alias("s"))
-    # of rows with one doc_id and different texts those with the class's own set, any one of them
-    own_set = (F.size("s.members") == F.col("size")) & (F.col("s.key1") == F.col("k1")) & (F.col("s.key2") == F.col("k2"))
-    sets = cut(picked.filter(own_set).select("rep", "doc", "s.members").dropDuplicates(["rep"]), "mh-sets")
+    classes = base.filter("n > 0 and doc_id is not null").groupBy(*key).agg(F.min(F.struct("doc_id", "print")).alias("own"), F.first("sketch").alias("sketch"))
+    classes = classes.select(*key, F.col("own.doc_id").alias("doc"), F.col("own.print").alias("print"), "sketch", F.monotonically_increasing_id().alias("rep"))
+    classes = cut(classes, "mh-classes")
+    members = _members(classes)
+    sets = cut(_full_sets(docs, classes, members, words), "mh-sets")
     # documents with several sets: each of their classes is linked with them
     several = base.filter("doc_id is not null").groupBy("doc_id").agg(F.min(F.struct(*key)).alias("lo"), F.max(F.struct(*key)).alias("hi")).filter("lo <> hi").select("doc_id")
     mixed = cut(base.drop("sketch").join(several, "doc_id").join(classes.select(*key, "doc"), key).select("doc_id", "doc").distinct(), "mh-mixed")
     same = mixed.filter("doc_id <> doc").select(F.col("doc_id").alias("a"), F.col("doc").alias("b"))
-    around = _around_pivots(members, sets)
-    near = around.filter(_reaches(F.col("d"), F.col("n") + F.col("pn"), percent) & (F.col("doc") != F.col("pdoc")))
-    links = cut(near.select(F.col("doc").alias("a"), F.col("pdoc").alias("b")).unionByName(same), "mh-links")
-    more = _remaining_links(around, sets, components(links), percent)
-    labels = cut(components(links.unionByName(more)), "mh-labels")
-    discard(members, sets, around, links, more)
+    around = cut(_around_pivots(sets), "mh-around")
+    links = cut(_links(around, percent).unionByName(same), "mh-links")
+    first = components(links)
+    more = _remaining_links(around, sets, first, percent)
+    labels = components(links.unionByName(more))
+    discard(members, sets, around, links, more, first)
     reps = cut(classes.select(*key, "doc").join(labels, F.col("doc") == F.col("node"), "left").select(*key, F.coalesce("component", "doc").alias("component")), "mh-reps")
     # an empty text beside others with its doc_id is of their component
     beside = mixed.join(labels, F.col("doc_id") == F.col("node"), "left").groupBy("doc_id").agg(F.min(F.coalesce("component", "doc")).alias("beside"))
+    beside = cut(beside, "mh-beside")
+    discard(classes, labels, mixed)
     out = base.drop("sketch").join(reps, key, "left").join(beside, "doc_id", "left")
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "beside", "doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), F.col("doc_id").eqNullSafe(own).alias("kept"))
 
 
-def _members(bands: DataFrame) -> DataFrame:
+def _members(classes: DataFrame) -> DataFrame:
     """Every class with the pivots of its buckets: in a bucket, the class with the most company in all of its own."""
-    full = bands.groupBy("band", "bucket").agg(F.count("*").alias("held")).filter("held > 1")
-    rows = cut(bands.join(apart(full), ["band", "bucket"]), "mh-shared")
+    bands = classes.select("rep", F.posexplode("sketch").alias("band", "value")).select("rep", F.xxhash64("band", "value").alias("bucket"))
+    bands = cut(bands, "mh-bands")
+    full = bands.groupBy("bucket").agg(F.count("*").alias("held")).filter("held > 1")
+    rows = cut(bands.join(apart(full).hint("merge"), "bucket"), "mh-shared")
+    discard(bands)
     weight = rows.groupBy("rep").agg(F.sum("held").alias("weight"))
-    rows_w = cut(rows.join(weight, "rep"), "mh-weighted")
-    best = rows_w.groupBy("band", "bucket").agg(F.max(F.struct("weight", "rep", "n")).alias("p"))
-    out = rows_w.join(apart(best), ["band", "bucket"]).filter("rep <> p.rep").select("rep", "n", F.col("p.rep").alias("pivot"), F.col("p.n").alias("pn"))
+    rows_w = cut(rows.join(weight.hint("merge"), "rep"), "mh-weighted")
+    discard(rows)
+    best = rows_w.groupBy("bucket").agg(F.max(F.struct("weight", "rep")).alias("p"))
+    out = rows_w.join(apart(best).hint("merge"), "bucket").filter("rep <> p.rep").select("rep", F.col("p.rep").alias("pivot"))
     out = cut(out.distinct(), "mh-members")
-    discard(rows, rows_w)
+    discard(rows_w)
     return out
 
 
-def _around_pivots(members: DataFrame, sets: DataFrame) -> DataFrame:
+def _full_sets(docs: DataFrame, classes: DataFrame, members: DataFrame, words: int) -> DataFrame:
+    """rep, doc, n, pivots (at most one per band), is_pivot and members of every class that shares a bucket."""
+    others = members.groupBy("pivot").agg(F.count("*").alias("others"))
+    with_others = members.join(apart(others), "pivot").select("rep", F.struct("pivot", "others").alias("p"))
+    roles = with_others.unionByName(others.select(F.col("pivot").alias("rep"), F.lit(None).cast("struct<pivot:bigint,others:bigint>").alias("p")))
+    roles = roles.groupBy("rep").agg(F.collect_list("p").alias("pivots"), F.bool_or(F.col("p").isNull()).alias("is_pivot"))
+    wanted = cut(classes.join(roles, "rep").select("rep", "doc", "print", "n", "pivots", "is_pivot"), "mh-wanted")
+    some = _among(docs, wanted.select(F.col("doc").alias("doc_id")), "doc_id")
+    # of rows with one doc_id and different texts the class's own; of equal rows one, before the text becomes a set
+    own = (F.col("doc_id") == F.col("doc")) & (F.xxhash64("text") == F.col("print"))
+    picked = some.join(wanted.hint("merge"), own).dropDuplicates(["doc_id", "doc", "rep"])
+    return picked.select("rep", "doc", "n", "pivots", "is_pivot", _hashed(words, False)("text")["members"].alias("members"))
+
+
+def _around_pivots(sets: DataFrame) -> DataFrame:
     """Members with their documents and d, the number of their differences from the pivot, and these where a pivot has several members."""
-    several = members.groupBy("pivot").agg(F.count("*").alias("others"))
-    pairs = members.join(apart(several), "pivot").select(F.col("rep").alias("a"), F.col("pivot").alias("b"), "n", "pn", "others")
-    diff = _compared(pairs, sets).select(F.col("a").alias("rep"), F.col("b").alias("pivot"), F.col("doc_a").alias("doc"), F.col("doc_b").alias("pdoc"), "n", "pn", "others", "diff")
-    return cut(diff.select("rep", "pivot", "doc", "pdoc", "n", "pn", F.size("diff").cast("long").alias("d"), F.when(F.col("others") > 1, F.col("diff")).alias("diff")), "mh-around")
+    own = sets.select("rep", "doc", "n", "members", F.explode("pivots").alias("p")).select("rep", "doc", "n", "members", "p.*")
+    pivots = sets.filter("is_pivot").select(F.col("rep").alias("pivot"), F.col("doc").alias("pdoc"), F.col("n").alias("pn"), F.col("members").alias("held"))
+    both = own.join(pivots.hint("merge"), "pivot")
+    both = both.select("rep", "pivot", "doc", "pdoc", "n", "pn", "others", F.arrow_udf(_differences, "array<long>")("members", "held").alias("diff"))
+    return both.select("rep", "pivot", "doc", "pdoc", "n", "pn", F.size("diff").cast("long").alias("d"), F.when(F.col("others") > 1, F.col("diff")).alias("diff"))
+
+
+def _links(around: DataFrame, percent: int) -> DataFrame:
+    near = around.filter(_reaches(F.col("d"), F.col("n") + F.col("pn"), percent) & (F.col("doc") != F.col("pdoc")))
+    return near.select(F.col("doc").alias("a"), F.col("pdoc").alias("b"))
 
 
 def _remaining_links(around: DataFrame, sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
@@ -219,8 +259,9 @@ def _placed(rows: DataFrame, percent: int) -> DataFrame:
     Both sets of a pair differ where exactly one of them differs from the pivot, so the pair reaches the similarity
     if it shares at least (e + e') / (2 * (100 + percent)) differences, e = (100 + percent) * d - (100 - percent) * n.
     A member is linked with the pivot if e <= (100 - percent) * pn; two linked ones are in one component. So one of the
-    pair is not, and e' > (100 - percent) * pn of it; of any set e' >= -(100 - percent) * pn. Differences are ordered
-    rarest first; those that no pair of different components can share take the first places but make no rows.
+    pair is not, and e' > (100 - percent) * pn of it; of any set e' >= -(100 - percent) * pn. They share at most d'
+    differences too, so at least (e - (100 - percent) * n') / (100 + percent), and n' is at most 100 * n / percent.
+    Differences are ordered rarest first; those that no pair of different components can share take the first places but make no rows.
     """
     excess = (100 + percent) * F.col("d") - (100 - percent) * F.col("n")
     bound = (100 - percent) * F.col("pn")
@@ -231,8 +272,10 @@ def _placed(rows: DataFrame, percent: int) -> DataFrame:
     own = Window.partitionBy("pivot", "rep")
     placed = held.join(apart(useful), ["pivot", "shingle"]).withColumn("place", F.row_number().over(own.orderBy("f", "shingle")))
     placed = placed.withColumn("place", F.col("d") - F.count("*").over(own) + F.col("place"))
+    most = F.col("d") - F.col("place") + 1
     least = F.col("e") + F.when(F.col("near"), bound + 1).otherwise(-bound)
-    return placed.filter(2 * (100 + percent) * (F.col("d") - F.col("place") + 1) >= least).select("pivot", "shingle", "rep", "n", "component", "d", "e", "near", "place")
+    enough = (2 * (100 + percent) * most >= least) & ((100 + percent) * most >= F.col("e") - (100 - percent) * F.floor(100 * F.col("n") / percent))
+    return placed.filter(enough).select("pivot", "shingle", "rep", "n", "component", "d", "e", "near", "place")
 
 
 def _sharing_differences(placed: DataFrame, percent: int) -> DataFrame:
@@ -244,6 +287,8 @@ def _sharing_differences(placed: DataFrame, percent: int) -> DataFrame:
     right = placed.select("pivot", "shingle", "near", *[F.col(c).alias(f"{c}_2") for c in ("rep", "n", "component", "d", "e", "place")])
     most = 1 + F.least(F.col("d") - F.col("place"), F.col("d_2") - F.col("place_2"))
     fits = 2 * (100 + percent) * most >= F.col("e") + F.col("e_2")
+    for e, n in (("e", "n_2"), ("e_2", "n")):
+        fits &= (100 + percent) * most >= F.col(e) - (100 - percent) * F.col(n)
     once = F.col("near") | (F.col("rep") < F.col("rep_2"))
     pairs = left.join(right, ["pivot", "shingle"]).filter(once & (F.col("component") != F.col("component_2")) & fits)
     first = F.col("rep") < F.col("rep_2")

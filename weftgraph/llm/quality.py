@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph.llm.common import bounded_batches, labelled_sample
-from weftgraph.llm.textbytes import BYTE_VALUE, SPACE, Rolling, column_bytes, runs, slices
+from weftgraph.llm.textbytes import AS_IS, SPACE, Spans, column_bytes, runs, slices
 
 #: Labelled rows by class that training may use.
 PER_CLASS = {0: 1500, 1: 2500}
@@ -47,7 +47,7 @@ def tokens(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     mark = np.repeat([0, 1], [len(x[0]) for x in spans])
     order = np.argsort(begin, kind="stable")
     begin, end, mark = begin[order], end[order], mark[order]
-    bucket = (Rolling(data, BYTE_VALUE).of(begin, end) & np.uint64(BUCKETS - 1)).astype(np.int32)
+    bucket = (Spans(data, AS_IS).of(begin, end) & np.uint64(BUCKETS - 1)).astype(np.int32)
     upper, digit = (np.concatenate([[0], np.cumsum(t[data])]) for t in (_UPPER, _DIGIT))
     n_upper, n_digit, size = upper[end] - upper[begin], digit[end] - digit[begin], end - begin
     first = _UPPER[data[begin]] if len(begin) else np.zeros(0, np.int64)

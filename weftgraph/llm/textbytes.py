@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,16 +11,17 @@ import pyarrow as pa
 #: Bytes handled at once; a longer text is handled alone.
 SLICE_BYTES = 1 << 20
 
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-_rng = np.random.default_rng(20240229)
-#: One random 64-bit value per byte; the second table folds A-Z onto a-z.
-BYTE_VALUE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
-FOLDED_VALUE = BYTE_VALUE.copy()
-FOLDED_VALUE[65:91] = BYTE_VALUE[97:123]
+#: Every byte as itself, and with A-Z as a-z.
+AS_IS = np.arange(256, dtype=np.uint8)
+FOLDED = AS_IS.copy()
+FOLDED[65:91] += 32
+_SEED, _SIZED = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+#: Of the last 8 bytes of a span those that belong to it.
+_MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+#: Longer spans are hashed one by one, by BLAKE2b.
+_LONG = 256
 SPACE = np.zeros(256, bool)
 SPACE[[32, *range(9, 14)]] = True
-_powers = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -32,17 +34,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _power(kind: str, n: int) -> np.ndarray:
-    have = _powers[kind]
-    if len(have) < n:
-        steps = np.full(max(n, SLICE_BYTES + 1), _BASE if kind == "up" else _INVERSE)
-        steps[0] = 1
-        have = np.multiply.accumulate(steps)
-        if n <= 4 * SLICE_BYTES:
-            _powers[kind] = have
-    return have[:n]
-
-
 def column_bytes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All bytes of a string column, and where each row begins (one more for the end); null: empty."""
     if isinstance(col, pa.ChunkedArray):
@@ -79,15 +70,28 @@ def runs(mask: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return np.flatnonzero(begin), np.flatnonzero(end) + 1
 
 
-class Rolling:
-    """Hashes of any spans of data: prefix sums of byte values times powers, modulo 2^64."""
+class Spans:
+    """Hashes of any spans of data: 8 bytes at a time through a permutation that isn't linear.
+
+    Sums of powers modulo 2^64 are no choice here: some pairs of long words have the same one for every base.
+    """
 
-    def __init__(self, data: np.ndarray, value: np.ndarray = FOLDED_VALUE):
-        terms = value[data]
-        terms *= _power("up", len(data))
-        self.sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(terms, out=self.sums[1:])
+    def __init__(self, data: np.ndarray, as_byte: np.ndarray = FOLDED):
+        self.data = np.zeros(len(data) + 8, np.uint8)
+        np.take(as_byte, data, out=self.data[:-8])
+        self.eights = np.ndarray(len(data) + 1, "<u8", self.data, strides=(1,))
 
     def of(self, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-        raw = (self.sums[end] - self.sums[begin]) * _power("down", len(self.sums))[begin]
-        return mix(raw + (end - begin).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+        size = end - begin
+        h = mix(size.astype(np.uint64) * _SIZED + _SEED)
+        long = np.flatnonzero(size > _LONG)
+        some, at = np.flatnonzero((size > 0) & (size <= _LONG)), begin
+        done = 0
+        while len(some):
+            block = self.eights[at[some] + done] & _MASK[np.minimum(size[some] - done, 8)]
+            h[some] = mix(h[some] ^ block)
+            done += 8
+            some = some[size[some] > done]
+        for i in long:
+            h[i] = int.from_bytes(hashlib.blake2b(self.data[begin[i] : end[i]], digest_size=8).digest(), "little")
+        return h

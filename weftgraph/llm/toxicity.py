@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph.llm.common import bounded_batches, labelled_sample
-from weftgraph.llm.textbytes import Rolling, column_bytes, runs, slices
+from weftgraph.llm.textbytes import Spans, column_bytes, runs, slices
 
 #: Labelled rows by class that training may use.
 PER_CLASS = {1: 1500, 0: 3500}
@@ -41,7 +41,7 @@ _COLS = [sum(WIDTHS[:i]) * FILTERS for i in range(len(WIDTHS))]
 def hashed_words(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Rows of the table for every word of all texts (n x 3), and where each text's words begin."""
     begin, end = runs(_WORD[data], at)
-    hashes = Rolling(data)
+    hashes = Spans(data)
     ids = np.empty((len(begin), 1 + len(PREFIXES)), np.int32)
     ids[:, 0] = hashes.of(begin, end) & np.uint64(BUCKETS - 1)
     for k, size in enumerate(PREFIXES, 1):
