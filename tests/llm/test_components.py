@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import re
+import zlib
 
 import numpy as np
 import public_tokenizers as P
@@ -55,14 +56,25 @@ def test_exact(docs, empty):
     assert rows(exact_dedup.exact_groups(empty)) == []
 
 
-def test_fingerprints_compose():
-    data = np.frombuffer(np.random.default_rng(1).bytes(70_000), np.uint8)
-    for which in (0, 1):
-        p, b = exact_dedup.PRIMES[which], exact_dedup.BASES[which]
-        h = 0
-        for x in data.tolist():
-            h = (h * b + x + 1) % p
-        assert exact_dedup.fingerprint(data) >> (31 if which == 0 else 0) & (1 << 31) - 1 == h
+def test_fingerprints_compose(spark):
+    data = bytes(np.random.default_rng(1).integers(32, 127, 3 * exact_dedup.CHUNK + 77, dtype=np.uint8))
+    df = spark.createDataFrame([(1, data.decode()), (2, ""), (3, data[: exact_dedup.CHUNK].decode())], "doc_id long, text string")
+    for r, text in zip(exact_dedup.fingerprints(df).orderBy("doc_id").collect(), (data, b"", data[: exact_dedup.CHUNK]), strict=True):
+        want = []
+        for p, b in zip(exact_dedup.PRIMES, exact_dedup.BASES, strict=True):
+            h = 0
+            for x in text:
+                h = (h * b + x + 1) % p
+            want.append(h)
+        assert r.fp == want[0] << 31 | want[1] and r.n_bytes == len(text)
+
+
+def test_equal_fingerprints_of_unequal_texts_are_split(spark, monkeypatch):
+    made = exact_dedup.fingerprints
+    monkeypatch.setattr(exact_dedup, "fingerprints", lambda d: made(d).withColumn("fp", F.lit(5).cast("long")))
+    texts = [(1, "aa"), (2, "ab"), (3, "aa"), (4, "b"), (None, "ab")]
+    got = exact_dedup.exact_groups(spark.createDataFrame(texts, "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.keep_id, r.group_size, r.kept) for r in got} == {(1, 3, 2, False), (3, 3, 2, True), (2, 2, 2, True), (None, 2, 2, False), (4, 4, 1, True)}
 
 
 def _pivot_pairs(spark, sets, pivot):
@@ -136,9 +148,15 @@ def test_bpe(spark, docs, empty):
     coder = bpe.codec(path, P.PATTERN)
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
     known = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    for t, r in zip([t for _, t in TEXTS], [coder], strict=False):
-        r.prepare()
-        assert r.plain(t or "").tolist() == known.encode_ordinary(t or "")
+    coder.prepare()
+    for _, t in TEXTS:
+        assert coder.plain(t or "").tolist() == known.encode_ordinary(t or "")
+    spaced = bpe.Codec(coder.tokens, r"\S+|\s+")  # any other pattern goes by the regular expression
+    spaced.prepare()
+    other = tiktoken.Encoding("other", pat_str=r"\S+|\s+", mergeable_ranks=ranks, special_tokens={})
+    data = "one two,three 44".encode()
+    ids, _, back = next(iter(spaced.rows(np.frombuffer(data, np.uint8), np.array([0, len(data)]))))
+    assert ids.tolist() == other.encode_ordinary(data.decode()) and back.tobytes() == data
     for r in rows(docs.select("text", bpe.token_digests(spark, F.col("text"), coder).alias("d"))):
         ids = known.encode_ordinary(r["text"] or "")
         assert r["d"]["n_tokens"] == len(ids) and r["d"]["ids_sha256"] == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
@@ -147,13 +165,47 @@ def test_bpe(spark, docs, empty):
 
 
 def test_media(docs, empty):
-    by = {(i, t): t for i, t in TEXTS}
+    known = dict(TEXTS)
     for r in rows(media.media_features(docs)):
-        data = media.pad((next(t for (i, t) in by if i == r["doc_id"]) or "").encode())
+        data = media.pad((known[r["doc_id"]] or "").encode())
         assert r["payload_sha256"] == hashlib.sha256(data).hexdigest() and r["payload_bytes"] == len(data)
+        assert r["tail_crc32"] == zlib.crc32(data[-32:]) and r["n_bytes"] == len((known[r["doc_id"]] or "").encode())
+        stored = media.encode(data)
+        assert r["media_bytes"] == len(stored) and r["media_sha256"] == hashlib.sha256(stored).hexdigest()
+        rgb = media.tensor(media.decode(stored))
+        assert (r["height"], r["width"]) == rgb.shape[:2] and bytes(r["rgb"]) == rgb.tobytes() and r["feature"] == media.feature(rgb)
     assert rows(media.media_features(empty)) == []
 
 
+def test_rgb_against_a_plain_inverse_transform():
+    """Every sample by the defining double sum, chroma repeated, colours by the standard's matrix."""
+    image = media.decode(media.encode(media.pad(bytes(range(256)) * 3)))
+    got = media.tensor(image).astype(int)
+    planes = []
+    for c in image.components.values():
+        plane = np.zeros((8 * c.high, 8 * c.wide))
+        for n, block in enumerate(c.coef):
+            f = np.zeros(64)
+            f[media.ZIGZAG] = block * image.quants[c.quant]
+            f = f.reshape(8, 8)
+            k = np.arange(8)
+            basis = np.cos((2 * k[:, None] + 1) * k[None, :] * np.pi / 16) * np.where(k == 0, 2**-0.5, 1)[None, :]
+            y, x = divmod(n, c.wide)
+            plane[8 * y : 8 * y + 8, 8 * x : 8 * x + 8] = np.clip(np.rint(basis @ f @ basis.T / 4 + 128), 0, 255)
+        planes.append(plane.repeat(image_v(image) // c.v, axis=0).repeat(image_h(image) // c.h, axis=1)[: image.height, : image.width])
+    y, cb, cr = planes[0], planes[1] - 128, planes[2] - 128
+    want = np.stack([y + 1.402 * cr, y - 0.344136 * cb - 0.714136 * cr, y + 1.772 * cb], axis=2)
+    assert np.abs(got - np.clip(np.rint(want), 0, 255)).max() <= 1
+
+
+def image_v(image):
+    return max(c.v for c in image.components.values())
+
+
+def image_h(image):
+    return max(c.h for c in image.components.values())
+
+
 def test_slow_scans_agree(monkeypatch):
     payload = media.pad(np.random.default_rng(5).bytes(3000))
     fast = media.decode(media.encode(payload))

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,6 +14,8 @@ from weftgraph.storage import cut, discard, shared_dir  # noqa: F401  the operat
 #: Bytes and rows of an Arrow batch sent to a Python worker, so that a worker's memory stays bounded.
 BATCH_BYTES = 8 << 20
 BATCH_ROWS = 4096
+#: The bitmap by which among() picks rows: 32 MB at most.
+BITMAP_BITS = 1 << 28
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,18 +39,48 @@ def two_columns(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
+def among(rows: DataFrame, ids: DataFrame, col: str) -> DataFrame:
+    """rows whose col is one of ids, and a few others: by a bitmap of at most BITMAP_BITS."""
+    spark = rows.sparkSession
+    bits = 1 << 16
+    while bits < min(BITMAP_BITS, 16 * ids.count()):
+        bits *= 2
+    slot = F.pmod(F.xxhash64(col), F.lit(bits)) + 1
+    # at most bits / 32768 rows of 4 KB reach the driver
+    filled = ids.select(slot.alias("s")).groupBy(F.bitmap_bucket_number("s").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("s")).alias("b")).toArrow()
+    held = np.zeros(bits // 8, np.uint8)
+    for k, b in zip(filled.column("k").to_pylist(), filled.column("b").to_pylist(), strict=True):
+        held[4096 * (k - 1) : 4096 * k] = np.frombuffer(b, np.uint8)
+    shared = spark.sparkContext.broadcast(held)
+
+    def known(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for col in batches:
+            at = col.to_numpy(zero_copy_only=False) - 1
+            yield pa.array((shared.value[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool))
+
+    return rows.filter(F.arrow_udf(known, "boolean")(slot))
+
+
 def is_held_out(doc_id, modulus: int, remainder: int):
     return F.crc32(doc_id.cast("string").cast("binary")) % modulus == remainder
 
 
+#: Longer labelled texts (UTF-8 bytes) are not taken into a training sample.
+LONGEST = 1 << 16
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, train: Column, per_class: dict[int, int], label_id: str = "doc_id") -> DataFrame:
-    """doc_id, text and label of at most per_class[y] labelled rows of each class, the smallest by hash.
+    """doc_id, label and the other columns of docs, of at most per_class[y] labelled ids of each class, the smallest by hash.
 
-    train: a predicate on doc_id. The chosen ids number at most sum(per_class), so they are broadcast.
+    train: a predicate on doc_id. The chosen ids number at most sum(per_class), so they are broadcast. Of rows with one id
+    and label one is taken, and none whose text is longer than LONGEST: sum(per_class) * LONGEST bytes is a proven bound.
     """
     rows = labels.select(F.col(label_id).alias("doc_id"), F.col(label_col).cast("int").alias("label")).filter(F.col("doc_id").isNotNull() & train)
     chosen = None
     for y, n in per_class.items():
         some = rows.filter(F.col("label") == y).distinct().orderBy(F.md5(F.col("doc_id").cast("string").cast("binary")), "doc_id").limit(n)
         chosen = some if chosen is None else chosen.unionByName(some)
-    return docs.join(F.broadcast(chosen), "doc_id")
+    found = docs.filter(F.octet_length("text") <= LONGEST).join(F.broadcast(chosen), "doc_id")
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    one = found.groupBy("doc_id", "label").agg(F.min(F.struct(F.xxhash64("text").alias("_h"), "text", *others)).alias("r"))
+    return one.select("doc_id", "label", *[F.col(f"r.{c}").alias(c) for c in ("text", *others)])

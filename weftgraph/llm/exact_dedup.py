@@ -1,11 +1,12 @@
 """Exact deduplication by composable polynomial fingerprints and chunkwise comparison.
 
-A text's fingerprint is a polynomial in its bytes modulo two primes. Fixed-size chunks are hashed
-apart and combined by length-shifted arithmetic, H(xy) = H(x) * B^|y| + H(y), so a huge text needs
-no more memory than one chunk. Rows are grouped by fingerprint and length with map-side partial
-aggregates. Groups of two or more are then compared chunk by chunk: the smallest and the largest
-copy of every chunk are streaming aggregates, equal for all chunks iff the texts are equal, and no
-task ever holds a group. Texts that only share a fingerprint are told apart by SHA-256.
+A text's fingerprint is a polynomial in its bytes modulo two primes. Every text becomes rows of chunks of
+CHUNK bytes, which are hashed apart from each other; the hashes of a text, which are few numbers, meet in an
+ordered aggregate that combines them by length-shifted arithmetic, H(xy) = H(x) * B^|y| + H(y). Rows are
+grouped by fingerprint and length with map-side partial aggregates. Groups of two or more are then compared
+chunk by chunk: the smallest and the largest copy of every chunk are streaming aggregates, equal for all chunks
+iff the texts are equal, and no task ever holds a group. Texts that only share a fingerprint are told
+apart by SHA-256. Texts to be compared are picked by a bitmap of their ids of bounded size before any shuffle.
 
 Defined cases: null text counts as empty; empty texts are copies of each other; of rows equal in
 text and doc_id exactly one stays; a null doc_id is smaller than any other; an empty table gives an
@@ -14,15 +15,14 @@ empty result; other columns are not looked at.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import apart, bounded_batches, cut, two_columns
+from weftgraph.llm.common import among, apart, bounded_batches, cut, discard, two_columns
 from weftgraph.llm.textbytes import column_bytes
 
 CHUNK = 1 << 15
@@ -30,6 +30,8 @@ PRIMES = (2147483647, 2147483629)
 BASES = (1000003, 16777619)
 #: Bytes compared at once.
 COMPARED = 4096
+#: Fingerprints shared by unequal texts, at most a handful by chance, are broadcast up to this number, else joined by merge.
+FEW = 100_000
 
 _TABLES = []
 for _p, _b in zip(PRIMES, BASES, strict=True):
@@ -45,73 +47,75 @@ def chunk_hash(chunk: np.ndarray, which: int) -> int:
     return int(np.dot(values, _TABLES[which][CHUNK + 1 - len(chunk) :])) % PRIMES[which]
 
 
-def combine(left: int, right: int, right_len: int, which: int) -> int:
-    return (left * pow(BASES[which], right_len, PRIMES[which]) + right) % PRIMES[which]
+def shift_of(size: int, which: int) -> int:
+    """B^size: by what a hash grows when so many bytes follow."""
+    return int(_TABLES[which][CHUNK - size])
 
 
-def fingerprint(data: np.ndarray) -> int:
-    """Both polynomials in one 62-bit number."""
-    parts = []
-    for which in (0, 1):
-        h = 0
-        for at in range(0, len(data), CHUNK):
-            piece = data[at : at + CHUNK]
-            h = combine(h, chunk_hash(piece, which), len(piece), which)
-        parts.append(h)
-    return parts[0] << 31 | parts[1]
+def _hashes(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    names = ["h0", "h1", "s0", "s1"]
+    for col in batches:
+        data, at = column_bytes(col)
+        pieces = [data[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
+        numbers = [[chunk_hash(x, w) for x in pieces] for w in (0, 1)] + [[shift_of(len(x), w) for x in pieces] for w in (0, 1)]
+        yield pa.StructArray.from_arrays([pa.array(n, pa.int64()) for n in numbers], names)
 
 
-_TYPE = "fp long, n_bytes long, sha string"
+def _chunks(text: Column, size: int) -> Column:
+    """The text's bytes in pieces; an empty text is one empty piece. The text is bound once, not per piece."""
+    piece = lambda data: F.transform(
+        F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.octet_length(data) - 1) / size)).cast("int")), lambda i: F.substr(data, i * size + 1, F.lit(size))
+    )
+    return F.transform(F.array(F.encode(text, "UTF-8")), piece)[0]
 
 
-def _fingerprints(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-    for col in batches:
-        data, at = column_bytes(col)
-        texts = [data[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
-        yield pa.StructArray.from_arrays(
-            [
-                pa.array([fingerprint(x) for x in texts], pa.int64()),
-                pa.array(np.diff(at), pa.int64()),
-                pa.array([hashlib.sha256(x).hexdigest() for x in texts], pa.string()),
-            ],
-            ["fp", "n_bytes", "sha"],
-        )
+def combined(parts: Column, which: int) -> Column:
+    """The hash of a whole text from those of its chunks in order: below 2^62 at every step."""
+    return F.aggregate(parts, F.lit(0).cast("long"), lambda h, x: (h * x[f"s{which}"] + x[f"h{which}"]) % PRIMES[which])
+
+
+def fingerprints(docs: DataFrame) -> DataFrame:
+    """rid, doc_id, sha, n_bytes and fp (both polynomials in 62 bits) of every row of doc_id and text."""
+    rows = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", F.sha2("text", 256).alias("sha"), F.octet_length("text").cast("long").alias("n_bytes"), "text")
+    rows = rows.select("rid", "doc_id", "sha", "n_bytes", F.posexplode(_chunks(F.col("text"), CHUNK)).alias("at", "piece"))
+    hashed = rows.select("rid", "doc_id", "sha", "n_bytes", "at", F.arrow_udf(_hashes, "h0 long, h1 long, s0 long, s1 long")("piece").alias("h"))
+    # one of CHUNK bytes: numbers of a text meet, never its bytes
+    pieces = cut(hashed.select("rid", "doc_id", "sha", "n_bytes", "at", "h.*"), "exact-pieces")
+    one = pieces.filter(F.col("n_bytes") <= CHUNK).select("rid", "doc_id", "sha", "n_bytes", F.array(F.struct("at", "h0", "h1", "s0", "s1")).alias("parts"))
+    many = pieces.filter(F.col("n_bytes") > CHUNK).groupBy("rid", "doc_id", "sha", "n_bytes").agg(F.array_sort(F.collect_list(F.struct("at", "h0", "h1", "s0", "s1"))).alias("parts"))
+    fp = F.shiftleft(combined(F.col("parts"), 0), 31).bitwiseOR(combined(F.col("parts"), 1))
+    out = cut(one.unionByName(many).select("rid", "doc_id", "sha", "n_bytes", fp.alias("fp")), "exact-prints")
+    discard(pieces)
+    return out
 
 
 def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row per document: doc_id, keep_id, group_size, kept, text_sha256."""
-    spark = df.sparkSession
-    bounded_batches(spark)
+    bounded_batches(df.sparkSession)
     docs = two_columns(df, id_col, text_col)
-    finger = F.arrow_udf(_fingerprints, _TYPE).asNondeterministic()
-    prints = cut(
-        docs.select("doc_id", finger("text").alias("f")).select("doc_id", "f.*").withColumn("rid", F.monotonically_increasing_id()),
-        "exact-prints",
-    )
+    prints = fingerprints(docs)
     key = ["fp", "n_bytes"]
     shared = prints.groupBy(key).agg(F.count("*").alias("n")).filter("n > 1 and n_bytes > 0").drop("n")
-    suspects = prints.join(apart(shared), key).select(F.col("doc_id").alias("s_id"), *key).distinct()
+    suspects = cut(prints.join(apart(shared), key).select(F.col("doc_id").alias("s_id"), *key).distinct(), "exact-suspects")
     pieces = (
-        docs.join(suspects, F.col("doc_id").eqNullSafe(F.col("s_id")))
+        among(docs, suspects.select(F.col("s_id").alias("doc_id")), "doc_id")
+        .join(suspects.hint("merge"), F.col("doc_id").eqNullSafe(F.col("s_id")))
         .filter(F.octet_length("text") == F.col("n_bytes"))
-        .select(*key, F.posexplode(_chunks(F.col("text"))).alias("at", "piece"))
+        .select(*key, F.posexplode(_chunks(F.col("text"), COMPARED)).alias("at", "piece"))
     )
     # a count, a smallest and a largest value: partial aggregates, whatever the size of a group
     differing = (
         pieces.groupBy(*key, "at").agg(F.min("piece").alias("lo"), F.max("piece").alias("hi")).filter("lo <> hi").select(key).distinct()
     )
     differing = cut(differing, "exact-differing")
-    marked = prints.join(differing.withColumn("split", F.lit(True)), key, "left").withColumn("sub", F.when(F.col("split"), F.col("sha")).otherwise(""))
+    discard(suspects)
+    # with the few broadcast, rows stay where they are: equal texts are not dealt to one task
+    split = differing.withColumn("split", F.lit(True))
+    split = F.broadcast(split) if split.limit(FEW + 1).count() <= FEW else split.hint("merge")
+    marked = prints.join(split, key, "left").withColumn("sub", F.when(F.col("split"), F.col("sha")).otherwise(""))
     heads = marked.groupBy(*key, "sub").agg(
         F.count("*").alias("group_size"), F.max(F.struct(F.col("doc_id"), F.col("rid"))).alias("head")
     )
     return marked.join(apart(heads), [*key, "sub"]).select(
         "doc_id", F.col("head.doc_id").alias("keep_id"), "group_size", (F.col("rid") == F.col("head.rid")).alias("kept"), F.col("sha").alias("text_sha256")
     )
-
-
-def _chunks(text):
-    """The text's bytes in pieces of COMPARED."""
-    data = F.encode(text, "UTF-8")
-    last = F.greatest(F.lit(0), F.floor((F.octet_length(text) - 1) / COMPARED)).cast("int")
-    return F.transform(F.sequence(F.lit(0), last), lambda i: F.substr(data, i * COMPARED + 1, F.lit(COMPARED)))

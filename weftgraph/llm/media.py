@@ -412,9 +412,8 @@ def payload_of(image: Image) -> bytes:
     return _luts()["byte"][blocks.ravel()[:n] + 130].tobytes()
 
 
-def feature(image: Image) -> str:
-    """Size, checksum and channel means of the RGB tensor."""
-    rgb = tensor(image)
+def feature(rgb: np.ndarray) -> str:
+    """Size, checksum and channel means of an RGB tensor."""
     means = rgb.reshape(-1, 3).sum(axis=0, dtype=np.int64) / (rgb.shape[0] * rgb.shape[1])
     return f"{rgb.shape[0]}x{rgb.shape[1]};crc={zlib.crc32(rgb):08x};mean={','.join(f'{m:.3f}' for m in means)}"
 
@@ -428,25 +427,26 @@ def _encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         yield pa.StructArray.from_arrays([pa.array([len(x) for x in data], pa.int64()), pa.array([encode(pad(x)) for x in data], pa.binary())], ["n_bytes", "media"])
 
 
-_FEATURES = pa.struct([("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())])
+_READ = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, height int, width int, rgb binary"
 
 
-def _features(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+def _read_media(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    names = [x.split()[0] for x in _READ.split(", ")]
+    types = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.binary()]
     for col in batches:
         out = []
         for x in col:
             media = x.as_py()
             image = decode(media)
-            payload = payload_of(image)
-            out.append({"payload_bytes": len(payload), "payload_sha256": hashlib.sha256(payload).hexdigest(), "tail_crc32": zlib.crc32(payload[-32:]), "media_bytes": len(media), "media_sha256": hashlib.sha256(media).hexdigest(), "feature": feature(image)})
-        yield pa.array(out, _FEATURES)
+            payload, rgb = payload_of(image), tensor(image)
+            out.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(media), hashlib.sha256(media).hexdigest(), *rgb.shape[:2], rgb.tobytes()))
+        yield pa.StructArray.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(types)], names)
 
 
-def _tensors(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-    kind = pa.struct([("height", pa.int32()), ("width", pa.int32()), ("rgb", pa.binary())])
-    for col in batches:
-        images = [tensor(decode(x.as_py())) for x in col]
-        yield pa.array([{"height": t.shape[0], "width": t.shape[1], "rgb": t.tobytes()} for t in images], kind)
+def _describe(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+    for high, wide, rgb in batches:
+        shapes = zip(high.to_pylist(), wide.to_pylist(), rgb, strict=True)
+        yield pa.array([feature(np.frombuffer(x.as_buffer(), np.uint8).reshape(h, w, 3)) for h, w, x in shapes], pa.string())
 
 
 def media_column(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -456,13 +456,16 @@ def media_column(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return two_columns(df, id_col, text_col).select("doc_id", made("text").alias("m")).select("doc_id", "m.*")
 
 
-def tensor_column(media):
-    """height, width and rgb (row-major bytes) of each JPEG of a column."""
-    return F.arrow_udf(_tensors, "height int, width int, rgb binary")(media)
+def tensor_column(media: DataFrame) -> DataFrame:
+    """The other columns of media, what its payloads decode to, and height, width and rgb (row-major bytes of every image)."""
+    bounded_batches(media.sparkSession)
+    read = F.arrow_udf(_read_media, _READ).asNondeterministic()
+    rest = [c for c in media.columns if c != "media"]
+    return media.select(*rest, read("media").alias("f")).select(*rest, "f.*")
 
 
 def media_features(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Store every text as media in a table, read it back and compute the features from what was read."""
+    """Store every text as media in a table, read it back to tensors, and describe these; the tensors are columns of the result."""
     stored = cut(media_column(df, id_col, text_col), "media")
-    read = F.arrow_udf(_features, "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string").asNondeterministic()
-    return stored.select("doc_id", "n_bytes", read("media").alias("f")).select("doc_id", "n_bytes", "f.*")
+    tensors = tensor_column(stored)
+    return tensors.withColumn("feature", F.arrow_udf(_describe, "string")("height", "width", "rgb"))

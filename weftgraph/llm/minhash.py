@@ -17,7 +17,7 @@ has in common does not appear. The filters are exact and all pairs that pass are
 candidates is lost, while pairs within a component are never formed.
 
 Only the texts of classes in shared buckets are read again. They are picked by a bitmap of their ids of at most
-BITMAP_BITS bits, whatever the corpus; ids that only share a bit go in the join behind it.
+common.BITMAP_BITS bits, whatever the corpus; ids that only share a bit go in the join behind it.
 
 Defined cases: null, empty or blank texts have the empty set and are linked with nothing; a row with a null
 doc_id is its own component, null; rows with equal doc_id are one node of the graph, each its own row of the
@@ -33,13 +33,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import apart, bounded_batches, cut, discard, two_columns
+from weftgraph.llm.common import among, apart, bounded_batches, cut, discard, two_columns
 from weftgraph.llm.components import components
 from weftgraph.llm.textbytes import SPACE, Spans, column_bytes, mix, runs, slices
 
 SIZE, ROWS = 128, 4
-#: The bitmap of the ids whose texts are read again: 32 MB at most.
-BITMAP_BITS = 1 << 28
 _EMPTY = np.uint64((1 << 64) - 1)
 _LOW = np.uint64((1 << 48) - 1)
 _SEEDS = np.random.default_rng(3).integers(1, 1 << 63, 2 * SIZE, dtype=np.uint64)
@@ -131,7 +129,7 @@ def _differences(pairs: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Arra
 
 def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """pairs with diff, the shingles of exactly one of the sets of a and b, and the documents that stand for both."""
-    sets = _among(sets, pairs.select(F.explode(F.array("a", "b")).alias("rep")), "rep")
+    sets = among(sets, pairs.select(F.explode(F.array("a", "b")).alias("rep")), "rep")
     one = lambda s: sets.select(F.col("rep").alias(s), F.col("doc").alias(f"doc_{s}"), F.col("members").alias(f"set_{s}"))
     both = pairs.join(one("a").hint("merge"), "a").join(one("b").hint("merge"), "b")
     return both.select(*pairs.columns, "doc_a", "doc_b", F.arrow_udf(_differences, "array<long>")("set_a", "set_b").alias("diff"))
@@ -142,28 +140,6 @@ def _reaches(differ: Column, sizes: Column, percent: int) -> Column:
     return (100 + percent) * differ <= (100 - percent) * sizes
 
 
-def _among(rows: DataFrame, ids: DataFrame, col: str) -> DataFrame:
-    """rows whose col is one of ids, and a few others: by a bitmap of at most BITMAP_BITS."""
-    spark = rows.sparkSession
-    bits = 1 << 16
-    while bits < min(BITMAP_BITS, 16 * ids.count()):
-        bits *= 2
-    slot = F.pmod(F.xxhash64(col), F.lit(bits)) + 1
-    # at most bits / 32768 rows of 4 KB reach the driver
-    filled = ids.select(slot.alias("s")).groupBy(F.bitmap_bucket_number("s").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("s")).alias("b")).toArrow()
-    held = np.zeros(bits // 8, np.uint8)
-    for k, b in zip(filled.column("k").to_pylist(), filled.column("b").to_pylist(), strict=True):
-        held[4096 * (k - 1) : 4096 * k] = np.frombuffer(b, np.uint8)
-    shared = spark.sparkContext.broadcast(held)
-
-    def known(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for col in batches:
-            at = col.to_numpy(zero_copy_only=False) - 1
-            yield pa.array((shared.value[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool))
-
-    return rows.filter(F.col(col).isNotNull()).filter(F.arrow_udf(known, "boolean")(slot))
-
-
 def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
     """A row per document: doc_id, n_shingles, component_id, kept."""
     bounded_batches(df.sparkSession)
@@ -220,7 +196,7 @@ def _full_sets(docs: DataFrame, classes: DataFrame, members: DataFrame, words: i
     roles = with_others.unionByName(others.select(F.col("pivot").alias("rep"), F.lit(None).cast("struct<pivot:bigint,others:bigint>").alias("p")))
     roles = roles.groupBy("rep").agg(F.collect_list("p").alias("pivots"), F.bool_or(F.col("p").isNull()).alias("is_pivot"))
     wanted = cut(classes.join(roles, "rep").select("rep", "doc", "print", "n", "pivots", "is_pivot"), "mh-wanted")
-    some = _among(docs, wanted.select(F.col("doc").alias("doc_id")), "doc_id")
+    some = among(docs, wanted.select(F.col("doc").alias("doc_id")), "doc_id")
     # of rows with one doc_id and different texts the class's own; of equal rows one, before the text becomes a set
     own = (F.col("doc_id") == F.col("doc")) & (F.xxhash64("text") == F.col("print"))
     picked = some.join(wanted.hint("merge"), own).dropDuplicates(["doc_id", "doc", "rep"])

@@ -29,6 +29,8 @@ from weftgraph.llm.textbytes import AS_IS, SPACE, Spans, column_bytes, runs, sli
 PER_CLASS = {0: 1500, 1: 2500}
 THRESHOLD = 0.3
 BUCKETS, DIM, NONZERO, WINDOW = 1 << 14, 32, 4, 2
+#: Tokens whose vectors are held at once.
+WINDOW_TOKENS = 1 << 18
 HIDDEN, STEPS, BATCH, RATE = 32, 1500, 64, 0.01
 SHAPES = 8
 
@@ -79,22 +81,34 @@ class Network:
         out = np.zeros((n, 2 * DIM + SHAPES + 5), np.float32)
         if not len(bucket):
             return out
+        filled = count > 0
+        if len(bucket) <= WINDOW_TOKENS:
+            full = self._per_token(bucket, shape, at)
+            out[filled, : full.shape[1]] = np.add.reduceat(full, at[:-1][filled], axis=0) / count[filled, None]
+        else:  # window after window: memory doesn't grow with the text
+            for i in np.flatnonzero(filled):
+                total = np.zeros(2 * DIM + SHAPES + 2)
+                for a in range(at[i], at[i + 1], WINDOW_TOKENS):
+                    b = min(at[i + 1], a + WINDOW_TOKENS)
+                    lo, hi = max(at[i], a - 2), min(at[i + 1], b + 1)  # what the neighbours need
+                    full = self._per_token(bucket[lo:hi], shape[lo:hi], np.array([0, hi - lo]))
+                    total += full[a - lo : b - lo].sum(axis=0, dtype=np.float64)
+                out[i, : len(total)] = total / count[i]
+        out[:, -3] = (out[:, DIM : 2 * DIM] ** 2).sum(axis=1)
+        out[:, -2] = np.log1p(count)
+        out[:, -1] = 1 / (1 + count)
+        return out
+
+    def _per_token(self, bucket: np.ndarray, shape: np.ndarray, at: np.ndarray) -> np.ndarray:
         own = self.index[bucket]
         near = np.zeros(len(bucket), np.float32)
         near[:-1] = np.einsum("nd,nd->n", own[:-1], own[1:])
-        last = at[1:][count > 0] - 1
-        near[last] = 0
+        near[at[1:][np.diff(at) > 0] - 1] = 0
         same = np.zeros(len(bucket), np.float32)
         same[2:] = bucket[2:] == bucket[:-2]
         shapes = np.zeros((len(bucket), SHAPES), np.float32)
         shapes[np.arange(len(bucket)), shape] = 1
-        full = np.concatenate([self.context[bucket], own, shapes, near[:, None], same[:, None]], axis=1)
-        filled = count > 0
-        out[filled, : full.shape[1]] = np.add.reduceat(full, at[:-1][filled], axis=0) / count[filled, None]
-        out[:, -3] = (out[:, DIM : 2 * DIM] ** 2).sum(axis=1)
-        out[:, -2] = np.log1p(count)
-        out[:, -1] = 1 / (1 + count)
-        return out
+        return np.concatenate([self.context[bucket], own, shapes, near[:, None], same[:, None]], axis=1)
 
     def logits(self, x: np.ndarray) -> np.ndarray:
         w1, b1, w2, b2 = self.layers

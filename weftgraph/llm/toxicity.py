@@ -4,7 +4,7 @@ A word's embedding is the sum of three rows of one hashed table: the word's own
 four and five bytes, so that inflected forms share what they begin with. Filters of several
 widths slide over the words of the whole text, each is max-pooled and rectified, and a logistic
 layer gives the score. Training passes gradients only through the pooled positions (Adagrad). The labelled
-sample is bounded by PER_CLASS and reduced to hashed words on the executors; a third of it sets the bias and
+sample is bounded by PER_CLASS and reduced to hashed words on the executors; a part of it sets the bias and
 the thresholds by language. Neither language nor any other column is an input of a score.
 
 Defined cases: null or empty text has no words and gets the score of the bias alone; without
@@ -30,6 +30,12 @@ PER_CLASS = {1: 1500, 0: 3500}
 THRESHOLD = 0.7
 BUCKETS, DIM, WIDTHS, FILTERS = 1 << 18, 8, (1, 2, 3), 8
 PREFIXES = (4, 5)
+#: Texts that must hold a row of the table; weight of the classes' share in what a row says, in texts.
+LEAST, PRIOR = 3, 5
+#: Words whose embeddings and filters are held at once.
+WINDOW = 1 << 18
+#: One in so many texts is kept back from training, for bias, temperature and thresholds.
+HELD = 4
 #: Gradient steps at least, in whole passes over the sample.
 STEPS, BATCH, RATE = 450, 64, 0.08
 
@@ -60,15 +66,15 @@ class Network:
     temperature: float = 1.0
     thresholds: dict[str, float] = field(default_factory=dict)
 
-    def pooled(self, ids: np.ndarray, at: np.ndarray):
-        """Per text the rectified maxima, and the words where they were found."""
+    def pooled(self, ids: np.ndarray, at: np.ndarray, after: int = 0):
+        """Per text the rectified maxima, and the words where they were found; the last `after` words begin nothing."""
         n, pad = len(at) - 1, max(WIDTHS) - 1
         size = len(ids) + n * pad
         where = np.arange(len(ids)) + np.repeat(np.arange(n) * pad, np.diff(at))
         e = np.zeros((size, DIM), np.float32)
         e[where] = self.table[ids].sum(axis=1)
         held = np.zeros(size, bool)
-        held[where] = True
+        held[where[: len(where) - after]] = True
         parts = e @ self.filters
         best, found = np.empty((n, len(WIDTHS) * FILTERS), np.float32), np.empty((n, len(WIDTHS) * FILTERS), np.int64)
         starts = at[:-1] + np.arange(n) * pad
@@ -92,30 +98,64 @@ class Network:
     def logits(self, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
         if len(at) < 2:
             return np.zeros(0)
-        return self.pooled(ids, at)[0] @ self.out + self.bias
+        if len(ids) <= WINDOW:
+            return self.pooled(ids, at)[0] @ self.out + self.bias
+        best = np.stack([self._windowed(ids[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)])
+        return best @ self.out + self.bias
+
+    def _windowed(self, ids: np.ndarray) -> np.ndarray:
+        """The maxima of one text, window after window: its memory doesn't grow with the text."""
+        best, reach = np.zeros(len(self.out), np.float32), max(WIDTHS) - 1
+        for a in range(0, max(1, len(ids)), WINDOW - reach):
+            own = ids[a : a + WINDOW]
+            more = a + WINDOW < len(ids)
+            np.maximum(best, self.pooled(own, np.array([0, len(own)]), reach if more else 0)[0][0], out=best)
+            if not more:
+                break
+        return best
 
     def scores(self, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
         return np.round(1 / (1 + np.exp(-np.clip(self.logits(ids, at) / self.temperature, -30, 30))), 6)
 
 
+def class_lead(samples: list[np.ndarray], labels: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """By how much each row of the table speaks for class 1, from the texts that hold it; NaN where under LEAST do.
+
+    Rows of few texts get no vector, so that training can't learn single texts by their own words.
+    """
+    held = np.zeros((2, BUCKETS))
+    for i in rows:
+        held[labels[i], np.unique(samples[i])] += 1
+    share = labels[rows].mean()
+    posterior = (held[1] + PRIOR * share) / (held.sum(axis=0) + PRIOR)
+    lead = np.log(posterior / (1 - posterior)) - np.log(share / (1 - share))
+    lead[held.sum(axis=0) < LEAST] = np.nan
+    return lead / 3
+
+
 def train(samples: list[np.ndarray], labels: np.ndarray, langs: list[str | None], seed: int = 7) -> Network | None:
     """samples: hashed words (n x 3) of each text."""
     if len(set(labels.tolist())) < 2:
         return None
     rng = np.random.default_rng(seed)
-    held = rng.permutation(len(samples)) % 3 == 0
+    held = rng.permutation(len(samples)) % HELD == 0
     if len(set(labels[held].tolist())) < 2 or len(set(labels[~held].tolist())) < 2:
         held[:] = False
-    net = Network(
-        rng.normal(0, 0.1, (BUCKETS, DIM)).astype(np.float32),
-        rng.normal(0, 0.5, (DIM, sum(WIDTHS) * FILTERS)).astype(np.float32),
-        np.zeros(len(WIDTHS) * FILTERS, np.float32),
-        rng.normal(0, 0.3, len(WIDTHS) * FILTERS).astype(np.float32),
-        float(np.log(labels.mean() / (1 - labels.mean()))),
-    )
+    fit = np.flatnonzero(~held)
+    lead = class_lead(samples, labels, fit)
+    table = rng.normal(0, 0.05, (BUCKETS, DIM)).astype(np.float32)
+    table[np.isnan(lead)] = 0
+    table[:, 0] = np.nan_to_num(lead)
+    filters = rng.normal(0, 0.3, (DIM, sum(WIDTHS) * FILTERS)).astype(np.float32)
+    out = rng.normal(0, 0.1, len(WIDTHS) * FILTERS).astype(np.float32)
+    for k, (width, col) in enumerate(zip(WIDTHS, _COLS, strict=True)):  # half of each width's filters begin with the lead
+        filters[0, col : col + width * FILTERS] = 0
+        for j in range(width):
+            filters[0, col + j * FILTERS : col + j * FILTERS + FILTERS // 2] = 1 / width
+        out[k * FILTERS : k * FILTERS + FILTERS // 2] = 0.25
+    net = Network(table, filters, np.zeros(len(out), np.float32), out, float(np.log(labels[fit].mean() / (1 - labels[fit].mean()))))
     net.track = True
     sums = [np.full_like(net.table, 1e-6), np.full_like(net.filters, 1e-6), np.full_like(net.offset, 1e-6), np.full_like(net.out, 1e-6), 1e-6]
-    fit = np.flatnonzero(~held)
     for _ in range(-(-STEPS // -(-len(fit) // BATCH))):
         order = rng.permutation(fit)
         order = order[np.argsort([len(samples[i]) // 200 for i in order], kind="stable")]
@@ -160,8 +200,10 @@ def _step(net: Network, texts: list[np.ndarray], y: np.ndarray, sums: list) -> N
             grads.append(d[i, f][:, None] * net.filters[:, cols].T[f])
     rows, grads = np.concatenate(rows), np.concatenate(grads)
     table_rows, inverse = np.unique(ids[rows], return_inverse=True)
+    fixed = ~net.table[table_rows].any(axis=1)
     summed = np.zeros((len(table_rows), DIM), np.float32)
     np.add.at(summed, inverse.reshape(len(rows), -1), grads[:, None, :])
+    summed[fixed] = 0
     sums[0][table_rows] += summed**2
     net.table[table_rows] -= RATE * summed / np.sqrt(sums[0][table_rows])
     for k, (name, d) in enumerate((("filters", d_filters), ("offset", dh.sum(axis=0)), ("out", h.T @ g)), 1):
@@ -172,12 +214,13 @@ def _step(net: Network, texts: list[np.ndarray], y: np.ndarray, sums: list) -> N
 
 
 def _calibrated(raw: np.ndarray, y: np.ndarray, bias: float) -> tuple[float, float]:
-    """Temperature and bias of least log loss on the rows kept back."""
+    """Temperature and bias of least log loss and fewest wrong decisions at THRESHOLD on the rows kept back."""
+    line = np.log(THRESHOLD / (1 - THRESHOLD))
     best = (np.inf, 1.0, bias)
     for t in (0.25, 0.35, 0.5, 0.7, 1.0, 1.4, 2.0, 2.8):
         for shift in np.linspace(-3, 3, 25):
             z = (raw + shift) / t
-            loss = float(np.mean(np.logaddexp(0, z) - y * z))
+            loss = float(np.mean(np.logaddexp(0, z) - y * z) + np.mean((z >= line) != (y == 1)))
             if loss < best[0] - 1e-9:
                 best = (loss, t, bias + shift)
     return best[1], best[2]

@@ -142,8 +142,11 @@ def parse_members(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         yield fields, raw[begin : begin + int(fields["content-length"])]
 
 
-def _reader(bodies: bool):
+def _reader(folder: str, bodies: bool):
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        files, root = fs.FileSystem.from_uri(folder)
         names = [x.split()[0] for x in _RECORDS.split(", ")]
         types = [pa.int64() if x == "payload_bytes" else pa.binary() if x == "body" else pa.string() for x in names]
 
@@ -151,9 +154,11 @@ def _reader(bodies: bool):
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
 
         for b in batches:
-            for content in b.column("content"):
+            for name in b.column("archive").to_pylist():
                 rows, held = [], 0
-                for f, block in parse_members(content.as_buffer()):
+                with files.open_input_file(f"{root}/{name}") as archive:
+                    content = archive.read_buffer()  # an archive is closed once it has ARCHIVE_BYTES
+                for f, block in parse_members(content):
                     kind, ident = f["warc-type"], f["warc-record-id"].strip("<>")
                     sha1, size, body = None, None, block
                     if kind in ("response", "revisit"):
@@ -176,11 +181,9 @@ def _reader(bodies: bool):
 
 
 def read_archives(spark: SparkSession, folder: str, manifest: DataFrame, bodies: bool = True) -> DataFrame:
-    """A row per record of the archives that manifest names."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(folder)
-    # only names: adaptive execution broadcasts them while they are small
-    files = files.withColumn("archive", F.substring_index("path", "/", -1)).join(manifest.select("archive"), "archive", "left_semi")
-    return files.select("content").mapInArrow(_reader(bodies), _RECORDS)
+    """A row per record of the archives that manifest names: names are dealt out, and a task reads its archives itself."""
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return manifest.select("archive").repartition(n).mapInArrow(_reader(folder, bodies), _RECORDS)
 
 
 def assemble(records: DataFrame) -> DataFrame:
@@ -195,11 +198,18 @@ def page_of(ident):
     return F.expr(f"try_cast(regexp_extract({ident}, '^{_URN}(-?[0-9]+)', 1) as bigint)")
 
 
+def qualified(spark: SparkSession, folder: str) -> str:
+    """folder as a URI; without a scheme it lies on the cluster's default file system."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    uri = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    return re.sub("^file:/+", "file:///", uri)
+
+
 def archived_pages(pages: DataFrame, folder: str | None = None, least: int = 0, **columns) -> DataFrame:
     """Write, read back, assemble: page_id, payload_bytes, payload_digest, record_type, refers_to."""
     spark = pages.sparkSession
     folder = folder or f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
-    folder = folder if re.match(r"\w+:", folder) else f"file://{folder}"
+    folder = qualified(spark, folder)
     manifest = write_archives(pages, folder, least=least, **columns)
     if manifest.isEmpty():
         return spark.createDataFrame([], "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
