@@ -23,7 +23,7 @@ def test_fence_and_breadcrumb(spark):
 
 def test_merge_and_split(spark):
     df = spark.createDataFrame([(1, "# a\nx x x\n# b\nx x x\n# c\nx x x x x")], ["doc_id", "md"])
-    got = M.merge_small(M.sections(df, "doc_id", "md"), "doc_id", 6).orderBy("chunk_index").collect()
+    got = M.merge_small(df, "doc_id", "md", 6).orderBy("chunk_index").collect()
     assert [(r.title, r.token_count) for r in got] == [("a", 6), ("c", 5)]
     words = spark.createDataFrame([(1, " ".join(map(str, range(19))))], ["doc_id", "text"])
     parts = M.split_long(words, "doc_id", "text", 10).orderBy("piece").collect()

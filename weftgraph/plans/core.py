@@ -153,7 +153,7 @@ def _(s, d):
 
 @query("merge_sections")
 def _(s, d):
-    return M.merge_small(M.sections(_md(s, d), "doc_id", "md"), "doc_id", 256)
+    return M.merge_small(_md(s, d), "doc_id", "md", 256).drop("merged_titles")
 
 
 SPLIT_SQL = "w AS (SELECT doc_id, regexp_extract_all(text, '[^\\s\\p{Z}]+') AS w FROM documents), p AS (SELECT doc_id, w, unnest(range(0, len(w), 231)) AS b FROM w WHERE len(w) > 0), c AS (SELECT doc_id, CAST(b // 231 AS INTEGER) AS piece, w[b + 1:b + 256] AS part FROM p)"
