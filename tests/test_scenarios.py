@@ -1,5 +1,5 @@
 from weftgraph.operators import scenario as S
-from weftgraph.sources import files
+from weftgraph.sources import files, graphs
 from weftgraph.streaming import ingest
 
 
@@ -25,8 +25,8 @@ def test_files_and_graph(spark, tmp_path):
     assert got == {"/a.md": "# A", "b.TXT": None}
     nodes = spark.createDataFrame([("1", "DOCUMENT"), ("2", "odd")], "id string, type string")
     edges = spark.createDataFrame([("1", "2"), ("1", "9")], "source string, target string")
-    files.write_graph(nodes, edges, str(tmp_path / "g"))
-    n, e = files.read_graph(spark, str(tmp_path / "g"))
+    graphs.write_graph(nodes, edges, str(tmp_path / "g"))
+    n, e = graphs.read_graph(spark, str(tmp_path / "g"))
     assert {r.type for r in n.collect()} == {"DOCUMENT", "CHUNK"} and e.count() == 1
 
 

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftgraph.storage import cut
+
 SEMANTIC = ("agent_discovered", "keyphrases_overlap", "cosine_similarity", "llm_triplet", "retrospective_entity")
 
 
@@ -52,15 +51,6 @@ def too_common(sets: DataFrame, items: str, least: float = 0.693) -> list[str]:
     return [r.i for r in df.filter(F.ln(F.lit(n) / F.col("df")) < least).collect()] if n > 1 else []
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df, written to the folder that all machines share and read again, so that it is made once."""
-    spark = df.sparkSession
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    path = f"{(named or tempfile.gettempdir() + '/weftgraph-shared').rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def _kth(found: list[tuple[int, int]], k: int) -> int:
     """The k-th largest of values that each stand for a number of pairs; 1 if there are fewer."""
     for value, pairs in sorted(found, reverse=True):
@@ -81,13 +71,13 @@ def top_shared_pairs(sets: DataFrame, node: str, doc: str, items: str, k: int) -
     """
     full = sets.select(F.col(node).alias("node"), F.col(doc).alias("doc"), F.array_sort(items).alias("items")).withColumn("n", F.size("items")).filter("n > 0")
     keyed = full.withColumn("cls", F.md5(F.encode(F.to_json("items"), "UTF-8")))
-    rows = written(keyed.drop("items"), "top-rows")
-    alike = written(rows.groupBy("cls").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.min("node").alias("node"), F.first("n").alias("n")), "top-alike")
+    rows = cut(keyed.drop("items"), "top-rows")
+    alike = cut(rows.groupBy("cls").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.min("node").alias("node"), F.first("n").alias("n")), "top-alike")
     copies = alike.filter("lo <> hi").select("cls", F.col("n").alias("shared"))
     equal = [(r.shared, 1) for r in copies.orderBy(F.desc("shared")).limit(k).collect()]
     # smaller classes can't reach the count; only of the others sets are carried, each one's once
     large = alike.filter(F.col("n") >= _kth(equal, k)).select("cls", "lo", "hi", "node")
-    classes = written(large.join(full.filter(F.col("n") >= _kth(equal, k)).select("node", "items", "n"), "node").drop("node"), "top-classes")
+    classes = cut(large.join(full.filter(F.col("n") >= _kth(equal, k)).select("node", "items", "n"), "node").drop("node"), "top-classes")
 
     def held(least: int) -> DataFrame:
         return classes.filter(F.col("n") >= least).select("cls", "lo", "hi", F.explode("items").alias("i"))
@@ -105,14 +95,14 @@ def top_shared_pairs(sets: DataFrame, node: str, doc: str, items: str, k: int) -
     freq = some.groupBy("i").agg(F.count("*").alias("f")).filter("f > 1")
     own = Window.partitionBy("cls")
     ranked = some.join(freq, "i").withColumn("m", F.count("*").over(own)).withColumn("place", F.row_number().over(own.orderBy("f", "i")))
-    first = written(ranked.filter(F.col("place") <= F.col("m") - least + 1).select("cls", "lo", "hi", "i", "m", "place"), "top-first")
+    first = cut(ranked.filter(F.col("place") <= F.col("m") - least + 1).select("cls", "lo", "hi", "i", "m", "place"), "top-first")
     left, right = [first.select("i", *[F.col(c).alias(f"{c}_{s}") for c in ("cls", "lo", "hi", "m", "place")]) for s in "xy"]
     rest = 1 + F.least(F.col("m_x") - F.col("place_x"), F.col("m_y") - F.col("place_y"))
     near = left.join(right, "i").filter((F.col("cls_x") < F.col("cls_y")) & ((F.col("lo_x") != F.col("hi_y")) | (F.col("hi_x") != F.col("lo_y"))))
     # an item is the first one shared only where enough places follow it; a pair's first one passes
     near = near.filter(rest >= least).select(F.col("cls_x").alias("x"), F.col("cls_y").alias("y")).distinct()
     found = counted(near, least).unionByName(copies.select(F.col("cls").alias("x"), F.col("cls").alias("y"), "shared"))
-    found = written(found.filter(F.col("shared") >= least), "top-found")
+    found = cut(found.filter(F.col("shared") >= least), "top-found")
     least = _kth([(r.shared, 1) for r in found.orderBy(F.desc("shared")).limit(k).collect()], k)
     found = found.filter(F.col("shared") >= least)
 
@@ -126,40 +116,6 @@ def top_shared_pairs(sets: DataFrame, node: str, doc: str, items: str, k: int) -
     return out.select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b"), "shared").orderBy(F.desc("shared"), "a", "b").limit(k)
 
 
-def jaccard_join(rows: DataFrame, doc: str, item: str, least: float) -> DataFrame:
-    """a < b and their Jaccard similarity, at least `least` (> 0): prefix filter, then exact counts.
-
-    Items are ordered rarest first; a pair that reaches the similarity shares an item among the first
-    n - ceil(least * n) + 1 of each, so only those are joined on, and what they propose is counted in full.
-    """
-    r = rows.select(F.col(doc).alias("d"), F.col(item).alias("i")).distinct()
-    freq = r.groupBy("i").agg(F.count("*").alias("f"))
-    w = Window.partitionBy("d").orderBy("f", "i")
-    ranked = r.join(freq, "i").withColumn("pos", F.row_number().over(w)).withColumn("n", F.count("*").over(Window.partitionBy("d")))
-    prefix = ranked.filter(F.col("pos") <= F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1).select("d", "i", "n")
-    left, right = prefix.select(F.col("d").alias("a"), "i", F.col("n").alias("na")), prefix.select(F.col("d").alias("b"), "i", F.col("n").alias("nb"))
-    near = left.join(right, "i").filter((F.col("a") < F.col("b")) & (F.least("na", "nb") >= least * F.greatest("na", "nb") - 1e-9)).select("a", "b", "na", "nb").distinct()
-    full = near.join(r.select(F.col("d").alias("a"), "i"), "a").join(r.select(F.col("d").alias("b"), "i"), ["b", "i"])
-    out = full.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("both"))
-    return out.withColumn("jaccard", F.col("both") / (F.col("na") + F.col("nb") - F.col("both"))).filter(F.col("jaccard") >= least).select("a", "b", "jaccard")
-
-
-def tfidf(rows: DataFrame, doc: str, term: str) -> DataFrame:
-    """Smoothed tf-idf of unit length: ln((1 + n) / (1 + df)) + 1 times the count."""
-    tf = rows.groupBy(doc, term).agg(F.count("*").alias("tf"))
-    df = tf.groupBy(term).agg(F.count("*").alias("df"))
-    n = tf.agg(F.countDistinct(doc).alias("n"))
-    w = tf.join(df, term).join(F.broadcast(n)).withColumn("weight", F.col("tf") * (F.ln((1 + F.col("n")) / (1 + F.col("df"))) + 1))
-    norm = F.sqrt(F.sum(F.col("weight") * F.col("weight")).over(Window.partitionBy(doc)))
-    return w.select(doc, term, (F.col("weight") / norm).alias("weight"))
-
-
-def cosine_terms(weights: DataFrame, doc: str, term: str, low: float, high: float) -> DataFrame:
-    """a < b with low <= cosine <= high over weighted terms: cosine > 0 needs a shared term."""
-    left, right = weights.select(F.col(doc).alias("a"), term, F.col("weight").alias("wa")), weights.select(F.col(doc).alias("b"), term, F.col("weight").alias("wb"))
-    return left.join(right, term).filter("a < b").groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("cosine")).filter(F.col("cosine").between(low, high))
-
-
 # ---- edges ----
 
 
@@ -171,12 +127,13 @@ def edge_key(a: Column, b: Column, kind: Column, theme: Column) -> Column:
 def validate_edges(edges: DataFrame, verdicts: DataFrame, on: str, threshold: float = 0.5) -> DataFrame:
     """No verdict, a reliable one or one without confidence keeps an edge; kept as a flag."""
     out = edges.join(verdicts, on, "left")
-    return out.withColumn("keeps", F.col("is_reliable").isNull() | F.col("is_reliable") | (F.col("confidence") < threshold))
+    return out.withColumn("keeps", F.coalesce("is_reliable", F.lit(True)) | F.coalesce(F.col("confidence") < threshold, F.lit(True)))
 
 
 def item_registry(rows: DataFrame, item: str, doc: str, least: int = 2) -> DataFrame:
     """Items in at least `least` documents: their number, first and last."""
-    return rows.groupBy(item).agg(F.countDistinct(doc).alias("n_docs"), F.min(doc).alias("first_doc"), F.max(doc).alias("last_doc")).filter(F.col("n_docs") >= least)
+    per = rows.select(item, doc).distinct().groupBy(item)
+    return per.agg(F.count("*").alias("n_docs"), F.min(doc).alias("first_doc"), F.max(doc).alias("last_doc")).filter(F.col("n_docs") >= least)
 
 
 def concept_bridges(rows: DataFrame, concept: str, chunk: str, share: float = 0.5) -> DataFrame:
@@ -204,8 +161,20 @@ def priority(kind: Column, validated: Column, confidence: Column) -> Column:
 
 
 def round_robin(rows: DataFrame, bucket: str, order: str) -> DataFrame:
-    """One of each bucket per round, buckets by name: round and position in it."""
-    return rows.withColumn("round", F.row_number().over(Window.partitionBy(bucket).orderBy(order)))
+    """One of each bucket per round, buckets by name: rows in that order, with their round.
+
+    A bucket's rows are numbered by range: counts per range of the order column, which are few, give where each range begins,
+    so a bucket with most of the rows is as many tasks as it fills.
+    """
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = cut(rows.repartitionByRange(n, bucket, order).sortWithinPartitions(bucket, order).withColumn("_part", F.spark_partition_id()), "round-robin")
+    sizes = ranged.groupBy(bucket, "_part").agg(F.count("*").alias("_size"))
+    before = F.coalesce(F.sum("_size").over(Window.partitionBy(bucket).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = sizes.select(F.col(bucket).alias("_bucket"), F.col("_part").alias("_p"), before.alias("_before"))
+    # at most a row per bucket and range: buckets plus n
+    own = F.row_number().over(Window.partitionBy(bucket, "_part").orderBy(order))
+    numbered = ranged.withColumn("_nth", own).join(starts, F.col(bucket).eqNullSafe(F.col("_bucket")) & (F.col("_part") == F.col("_p")))
+    return numbered.withColumn("round", (F.col("_before") + F.col("_nth")).cast("int")).drop("_part", "_p", "_bucket", "_before", "_nth").orderBy("round", bucket)
 
 
 def first_of_pair(rows: DataFrame, a: str, b: str, order: str) -> DataFrame:

@@ -10,8 +10,13 @@ from pyspark.sql import functions as F
 
 from weftgraph.functions import text as T
 from weftgraph.operators import graph as G
+from weftgraph.operators import enrich as E
 from weftgraph.operators import markdown as M
+from weftgraph.operators import qa as Q
+from weftgraph.operators import scenario as S
+from weftgraph.operators import similarity as X
 from weftgraph.plans.catalog import register
+from weftgraph.storage import cut
 
 #: Markdown from a document; valid in both dialects.
 MD = (
@@ -53,9 +58,27 @@ def _(s, d):
     return _md(s, d).select("doc_id", _digest(T.repair_unicode(odd)).alias("digest"))
 
 
-@query("clean_page_numbers", f"WITH {MD_SQL} SELECT doc_id, md5(regexp_replace(regexp_replace(md, '(?mi)^[ \\t]*Page[ \\t]+[0-9]+[ \\t]+of[^\\n]*$', '', 'g'), '(?mi)^[ \\t]*(?:Page[ \\t]+[0-9]+|-[ \\t]*[0-9]+[ \\t]*-|[0-9]+)[ \\t]*$', '', 'g')) AS digest FROM md")
+ODD = "'see Page 3 of the big book' || chr(10) || 'Page 3 of 9' || chr(10) || ' - ' || doc_id || ' -' || chr(10) || coalesce(text, '') || chr(10) || doc_id || chr(10) || 'Page 7' || chr(10) || '* note ' || doc_id || chr(10) || '*bold*' || chr(10) || '[w @ us](mailto:a@b.c) [a@b.c](mailto:a@b.c) [me](mailto:x@y.z)' || chr(10) || 'https://x.org/' || doc_id || chr(10) || '[1 https://x.org](https://x.org/' || doc_id || ')' || chr(10) || 'end ' || doc_id"
+ODD_SQL = f"o AS (SELECT doc_id, {ODD} AS t FROM documents)"
+
+
+def _odd(s, d):
+    return _t(s, d, "documents").select("doc_id", F.expr(ODD).alias("t"))
+
+
+@query("clean_page_numbers", f"WITH {ODD_SQL} SELECT doc_id, md5(regexp_replace(regexp_replace(t, '(?mi)^.*\\bPage\\s*\\d+\\s+of\\s+.{{3,100}}$', '', 'g'), '(?mi)^\\s*(?:Page\\s*\\d+(?:\\s+of\\s+.{{0,80}})?|-\\s*\\d+\\s*-|\\d+)\\s*$', '', 'g')) AS digest FROM o")
 def _(s, d):
-    return _md(s, d).select("doc_id", _digest(T.strip_page_lines(F.col("md"))).alias("digest"))
+    return _odd(s, d).select("doc_id", _digest(T.strip_page_lines(F.col("t"))).alias("digest"))
+
+
+@query("strip_footnotes", f"WITH {ODD_SQL} SELECT doc_id, md5(regexp_replace(t, '(?m)^\\s*[*†‡§¹²³⁴⁵⁶⁷⁸⁹⁰]\\s+\\S.{{0,200}}$', '', 'g')) AS digest FROM o")
+def _(s, d):
+    return _odd(s, d).select("doc_id", _digest(T.strip_footnotes(F.col("t"))).alias("digest"))
+
+
+@query("technical_links", f"WITH {ODD_SQL}, a AS (SELECT doc_id, regexp_replace(t, '\\[\\s*[^\\s\\]]+@[^\\s\\]]+\\.[^\\s\\]]+\\s*\\]\\(mailto:[^)]+\\)', '', 'g') AS t FROM o), b AS (SELECT doc_id, regexp_replace(t, '\\[\\s*([^\\]]*?)\\s*\\]\\(mailto:[^)]+\\)', '\\1', 'g') AS t FROM a), c AS (SELECT doc_id, regexp_replace(t, '(?m)^\\s*https?://\\S+\\s*$', '', 'g') AS t FROM b) SELECT doc_id, md5(regexp_replace(t, '(?m)^\\s*\\[\\d+\\s+https?://\\S*\\]\\(https?://[^)]*\\)\\s*$', '', 'g')) AS digest FROM c")
+def _(s, d):
+    return _odd(s, d).select("doc_id", _digest(T.strip_technical_links(F.col("t"))).alias("digest"))
 
 
 @query("strip_trailing_sections", f"WITH {MD_SQL} SELECT doc_id, md5(regexp_replace(regexp_extract(md, '(?s)^(.*?)\n## References', 1), '\\s+$', '') || chr(10)) AS digest FROM md")
@@ -73,9 +96,13 @@ def _(s, d):
     return _t(s, d, "documents").select("doc_id", _digest(T.ensure_title(F.col("text"), F.concat(F.lit("d_"), "doc_id"))).alias("digest"))
 
 
-@query("fix_headings", f"WITH {MD_SQL}, {LINES_SQL} SELECT doc_id, md5(string_agg(CASE WHEN line = '## Empty' THEN '# Empty' WHEN starts_with(line, '## 1.2 ') THEN '###' || substr(line, 3) ELSE line END, chr(10) ORDER BY ord)) AS digest FROM l GROUP BY doc_id")
+SPECIAL_SQL = "regexp_matches(lower(title), '^(abstract|introduction|conclusion|conclusions|references|bibliography|acknowledgments|acknowledgements|appendix|supplementary|related work|background|discussion|limitations|future work|methodology|experiments|results|evaluation)')"
+
+
+@query("fix_headings", f"WITH {MD_SQL}, m2 AS (SELECT doc_id, '## Background' || chr(10) || md || chr(10) || '## Last ' || doc_id AS md FROM md), l AS (SELECT doc_id, generate_subscripts(string_split(md, chr(10)), 1) AS ord, unnest(string_split(md, chr(10))) AS line FROM m2), t AS (SELECT *, starts_with(line, '## ') AS two, trim(substr(line, 4), ' ') AS title FROM l), n AS (SELECT *, regexp_extract(title, '^(\\d+(?:\\.\\d+)*)\\s+.', 1) AS num FROM t), p AS (SELECT *, two AND num = '' AND NOT {SPECIAL_SQL} AS plain FROM n), k AS (SELECT *, sum(plain::INT) OVER (PARTITION BY doc_id ORDER BY ord) AS nth FROM p) SELECT doc_id, md5(string_agg(CASE WHEN NOT two THEN line ELSE repeat('#', CASE WHEN num <> '' THEN least(4, len(string_split(num, '.')) + 1) WHEN plain AND nth = 1 THEN 1 ELSE 2 END) || ' ' || title END, chr(10) ORDER BY ord)) AS digest FROM k GROUP BY doc_id")
 def _(s, d):
-    return M.fix_headings(_md(s, d), "doc_id", "md").select("doc_id", _digest(F.col("text")).alias("digest"))
+    text = F.concat(F.lit("## Background\n"), "md", F.lit("\n## Last "), F.col("doc_id").cast("string"))
+    return _md(s, d).select("doc_id", _digest(T.fix_heading_levels(text)).alias("digest"))
 
 
 @query("html_unescape")
@@ -112,9 +139,10 @@ def _(s, d):
     return _md(s, d).select("doc_id", F.array_join(M.inline_code(F.col("md")), "|").alias("code"))
 
 
-@query("tables_rows", f"WITH {MD_SQL} SELECT doc_id, CAST(1 AS BIGINT) AS table_no, unnest(['a/b', doc_id || '/' || lang]) AS cells FROM md")
+@query("tables_rows", f"WITH {MD_SQL}, m2 AS (SELECT doc_id, md || chr(10) || '|x|' || doc_id || '|' || chr(10) || '| y |' AS md FROM md), l AS (SELECT doc_id, generate_subscripts(string_split(md, chr(10)), 1) - 1 AS ord, trim(unnest(string_split(md, chr(10))), ' ') AS line FROM m2), r AS (SELECT *, starts_with(line, '|') AND ends_with(line, '|') AND length(line) > 1 AS is_row FROM l), f AS (SELECT *, is_row AND NOT coalesce(lag(is_row) OVER (PARTITION BY doc_id ORDER BY ord), false) AS fresh FROM r), n AS (SELECT *, sum(fresh::INT) OVER (PARTITION BY doc_id ORDER BY ord) AS no FROM f) SELECT doc_id, CAST(no AS BIGINT) AS table_no, array_to_string(list_transform(string_split(substr(line, 2, length(line) - 2), '|'), lambda c: trim(c, ' ')), '/') AS cells FROM n WHERE is_row AND NOT regexp_matches(line, '^\\|[\\s:|-]+\\|$')")
 def _(s, d):
-    return M.table_rows(_md(s, d), "doc_id", "md").select("doc_id", "table_no", F.array_join("cells", "/").alias("cells"))
+    md = _md(s, d).select("doc_id", F.concat("md", F.lit("\n|x|"), F.col("doc_id").cast("string"), F.lit("|\n| y |")).alias("md"))
+    return M.table_rows(md, "doc_id", "md").select("doc_id", "table_no", F.array_join("cells", "/").alias("cells"))
 
 
 def _entity_sql() -> str:
@@ -146,7 +174,7 @@ def _(s, d):
     return M.sections(_md(s, d), "doc_id", "md").select("doc_id", "section", "level", "title", _digest(F.col("content")).alias("digest"))
 
 
-@query("breadcrumbs", f"WITH {MD_SQL} SELECT doc_id, unnest(['Doc ' || doc_id, 'Doc ' || doc_id || ' > 1.2 Part ' || doc_id, 'Doc ' || doc_id || ' > 1.2 Part ' || doc_id || ' > Deep ' || source, 'Doc ' || doc_id || ' > References']) AS breadcrumb FROM md")
+@query("breadcrumbs", f"WITH {MD_SQL}, {SECTION_SQL}, v AS (SELECT *, coalesce(length(regexp_extract(head, '^#+')), 0) AS level, trim(regexp_replace(head, '^#+', ''), ' ') AS title FROM s), a AS (SELECT x.doc_id, x.section, y.section AS up, y.title FROM v x JOIN v y ON y.doc_id = x.doc_id AND y.level > 0 AND (y.section = x.section OR (y.section < x.section AND y.level < x.level)) WHERE NOT EXISTS (SELECT 1 FROM v z WHERE z.doc_id = x.doc_id AND z.section > y.section AND z.section <= x.section AND z.level <= y.level)), b AS (SELECT doc_id, section, string_agg(title, ' > ' ORDER BY up) AS path FROM a GROUP BY doc_id, section) SELECT v.doc_id, coalesce(b.path, 'Introduction') AS breadcrumb FROM v LEFT JOIN b ON b.doc_id = v.doc_id AND b.section = v.section WHERE regexp_matches(content, '\\S')")
 def _(s, d):
     return M.sections(_md(s, d), "doc_id", "md").select("doc_id", "breadcrumb")
 
@@ -222,12 +250,12 @@ def _conv_words(s, d):
 
 @query("jaccard_join", f"WITH {CONV_WORDS}, n AS (SELECT d, count(*) AS n FROM t GROUP BY d), p AS (SELECT a.d AS a, b.d AS b, count(*) AS k FROM t a JOIN t b ON a.w = b.w AND a.d < b.d GROUP BY a.d, b.d) SELECT a, b, round(k / (x.n + y.n - k), 6) AS jaccard FROM p JOIN n x ON x.d = a JOIN n y ON y.d = b WHERE k / (x.n + y.n - k) >= 0.3")
 def _(s, d):
-    return G.jaccard_join(_conv_words(s, d), "d", "w", 0.3).select("a", "b", F.round("jaccard", 6).alias("jaccard"))
+    return X.jaccard_join(_conv_words(s, d), "d", "w", 0.3).select("a", "b", F.round("jaccard", 6).alias("jaccard"))
 
 
 @query("tfidf_cosine", "WITH t AS (SELECT conv_id AS d, unnest(regexp_extract_all(lower(text), '[^\\s\\p{Z}]+')) AS w FROM conversations), f AS (SELECT d, w, count(*) AS tf FROM t GROUP BY d, w), g AS (SELECT w, count(*) AS df FROM f GROUP BY w), n AS (SELECT count(DISTINCT d) AS n FROM f), x AS (SELECT d, w, tf * (ln((1 + n) / (1 + df)) + 1) AS v FROM f JOIN g USING (w), n), y AS (SELECT d, w, v / sqrt(sum(v * v) OVER (PARTITION BY d)) AS v FROM x), c AS (SELECT a.d AS a, b.d AS b, sum(a.v * b.v) AS c FROM y a JOIN y b ON a.w = b.w AND a.d < b.d GROUP BY a.d, b.d) SELECT a, b, round(c, 4) AS cosine FROM c WHERE c BETWEEN 0.2 AND 0.9")
 def _(s, d):
-    return G.cosine_terms(G.tfidf(_conv_words(s, d), "d", "w"), "d", "w", 0.2, 0.9).select("a", "b", F.round("cosine", 4).alias("cosine"))
+    return X.cosine_terms(X.tfidf(_conv_words(s, d), "d", "w"), "d", "w", 0.2, 0.9).select("a", "b", F.round("cosine", 4).alias("cosine"))
 
 
 # ---- edges; nations, customers, orders and parts stand for nodes ----
@@ -245,9 +273,12 @@ def _(s, d):
     return G.validate_edges(_t(s, d, "documents").select("doc_id"), verdicts, "doc_id").select("doc_id", "keeps")
 
 
-@query("theme_registry", "SELECT l_partkey AS theme, count(DISTINCT l_orderkey) AS n_docs, min(l_orderkey) AS first_doc, max(l_orderkey) AS last_doc FROM lineitem GROUP BY l_partkey HAVING count(DISTINCT l_orderkey) >= 2")
+@query("theme_registry", "SELECT l_partkey AS theme, count(*) AS n_docs, min(o) AS first_doc, max(o) AS last_doc, md5(string_agg(CAST(o AS VARCHAR), ',' ORDER BY o)) AS docs FROM (SELECT DISTINCT l_partkey, l_orderkey AS o FROM lineitem) GROUP BY l_partkey HAVING count(*) >= 2")
 def _(s, d):
-    return G.item_registry(_t(s, d, "lineitem").withColumnRenamed("l_partkey", "theme"), "theme", "l_orderkey")
+    parts = E.theme_registry(_t(s, d, "lineitem").withColumnRenamed("l_partkey", "theme"), "theme", "l_orderkey").filter("n_docs >= 2")
+    ids = F.array_sort(F.flatten(F.collect_list("doc_ids")))
+    whole = parts.groupBy("theme", "n_docs").agg(ids.alias("ids"))
+    return whole.select("theme", "n_docs", F.array_min("ids").alias("first_doc"), F.array_max("ids").alias("last_doc"), F.md5(F.encode(F.array_join("ids", ","), "UTF-8")).alias("docs"))
 
 
 @query("bridge_pairs", "WITH t AS (SELECT DISTINCT l_orderkey AS o, l_suppkey AS s, l_partkey AS p FROM lineitem) SELECT x.o AS a, y.o AS b, count(*) AS shared FROM t x JOIN t y ON x.p = y.p AND x.s = y.s AND x.o < y.o GROUP BY x.o, y.o")
@@ -272,9 +303,11 @@ def _(s, d):
     return rows.select("conv_id", F.col("turn").alias("src")).join(rows.select("conv_id", F.col("turn").alias("dst")), "conv_id").filter("src < dst")
 
 
-@query("kg_stats", "SELECT event_type AS type, count(*) AS n, count(DISTINCT user_id) AS n_nodes FROM events GROUP BY event_type")
+@query("kg_stats", "WITH e AS (SELECT CASE l_returnflag WHEN 'A' THEN 'agent_discovered' WHEN 'N' THEN 'contains' ELSE 'llm_triplet' END AS type FROM lineitem), n AS (SELECT 'DOCUMENT' AS type FROM orders UNION ALL SELECT 'CHUNK' FROM part) SELECT 'nodes' AS measure, count(*) AS n FROM n UNION ALL SELECT 'documents', count(*) FROM n WHERE type = 'DOCUMENT' UNION ALL SELECT 'chunks', count(*) FROM n WHERE type = 'CHUNK' UNION ALL SELECT 'edges', count(*) FROM e UNION ALL SELECT 'semantic_edges', count(*) FROM e WHERE type <> 'contains' UNION ALL SELECT 'edges:' || type, count(*) FROM e GROUP BY type")
 def _(s, d):
-    return _t(s, d, "events").groupBy(F.col("event_type").alias("type")).agg(F.count("*").alias("n"), F.countDistinct("user_id").alias("n_nodes"))
+    kind = F.when(F.col("l_returnflag") == "A", "agent_discovered").when(F.col("l_returnflag") == "N", "contains").otherwise("llm_triplet")
+    nodes = _t(s, d, "orders").select(F.lit("DOCUMENT").alias("type")).unionByName(_t(s, d, "part").select(F.lit("CHUNK").alias("type")))
+    return E.graph_totals(nodes, _t(s, d, "lineitem").select(kind.alias("type")), G.SEMANTIC)
 
 
 @query("degree", "SELECT node, count(*) AS degree FROM (SELECT 'o' || o_orderkey AS node FROM orders UNION ALL SELECT 'c' || o_custkey FROM orders) GROUP BY node")
@@ -286,12 +319,6 @@ def _(s, d):
 # ---- scenarios ----
 
 
-@query("triplets", "SELECT c_custkey, o_orderkey, c_mktsegment AS a_type, o_orderpriority AS rel FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_orderstatus IN ('F', 'O')")
-def _(s, d):
-    edges = _t(s, d, "orders").filter(F.col("o_orderstatus").isin("F", "O"))
-    return edges.join(_t(s, d, "customer"), F.col("c_custkey") == F.col("o_custkey")).select("c_custkey", "o_orderkey", F.col("c_mktsegment").alias("a_type"), F.col("o_orderpriority").alias("rel"))
-
-
 @query("priority_rank", "SELECT l_orderkey, l_linenumber, CASE WHEN l_returnflag = 'A' THEN 0 WHEN l_linestatus = 'O' AND l_discount * 10 >= 0.7 THEN 2 WHEN l_linestatus = 'O' THEN 3 ELSE 4 END AS priority FROM lineitem")
 def _(s, d):
     kind = F.when(F.col("l_returnflag") == "A", "agent_discovered").otherwise("other")
@@ -300,7 +327,7 @@ def _(s, d):
 
 @query("round_robin", "SELECT o_orderkey, o_orderpriority, CAST(row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) AS INTEGER) AS round FROM orders")
 def _(s, d):
-    return G.round_robin(_t(s, d, "orders"), "o_orderpriority", "o_orderkey").select("o_orderkey", "o_orderpriority", "round")
+    return G.round_robin(_t(s, d, "orders").select("o_orderkey", "o_orderpriority"), "o_orderpriority", "o_orderkey").select("o_orderkey", "o_orderpriority", "round")
 
 
 @query("pair_dedupe", "SELECT a, b, first_seq FROM (SELECT least(l_partkey, l_suppkey) AS a, greatest(l_partkey, l_suppkey) AS b, min(l_orderkey * 10 + l_linenumber) AS first_seq FROM lineitem GROUP BY 1, 2)")
@@ -353,36 +380,9 @@ def _(s, d):
     return rows.filter(F.coalesce(F.col("q") == 1, F.lit(True))).select("doc_id")
 
 
-@query("hop_contexts", "SELECT doc_id, md5('<1-hop>' || chr(10) || substr(source || chr(10) || chr(10) || text, 1, 12000)) AS digest FROM documents")
-def _(s, d):
-    return _t(s, d, "documents").select("doc_id", _digest(G.hop_context(1, F.col("source"), F.col("text"))).alias("digest"))
-
-
 # ---- exports and operations ----
 
 
-@query("beir_corpus", "SELECT 'd' || doc_id AS _id, source AS title, md5(text) AS text_md5 FROM documents")
-def _(s, d):
-    return _t(s, d, "documents").select(F.concat(F.lit("d"), "doc_id").alias("_id"), F.col("source").alias("title"), _digest(F.col("text")).alias("text_md5"))
-
-
-@query("beir_queries", "SELECT 'q' || item_id AS _id, text FROM benchmark")
-def _(s, d):
-    return _t(s, d, "benchmark").select(F.concat(F.lit("q"), "item_id").alias("_id"), "text")
-
-
-@query("beir_qrels", "SELECT 'q' || l_orderkey AS query_id, 'd' || l_partkey AS corpus_id, CAST(1 AS INTEGER) AS score FROM lineitem GROUP BY 1, 2")
-def _(s, d):
-    return _t(s, d, "lineitem").select(F.concat(F.lit("q"), "l_orderkey").alias("query_id"), F.concat(F.lit("d"), "l_partkey").alias("corpus_id"), F.lit(1).alias("score")).distinct()
-
-
-@query("doc_store_hydrate", "SELECT a.doc_id, b.doc_id IS NOT NULL AS cached FROM documents a LEFT JOIN (SELECT md5(text) AS h, min(doc_id) AS doc_id FROM documents WHERE lang = 'en' GROUP BY 1) b ON md5(a.text) = b.h")
-def _(s, d):
-    docs = _t(s, d, "documents").select("doc_id", "lang", _digest(F.col("text")).alias("h"))
-    cache = docs.filter("lang = 'en'").groupBy("h").agg(F.min("doc_id").alias("from_doc"))
-    return docs.join(cache, "h", "left").select("doc_id", F.col("from_doc").isNotNull().alias("cached"))
-
-
 @query("job_stage_stats", "SELECT event_type, count(*) AS n, count(*) FILTER (WHERE gap IS NOT NULL) AS n_gaps, CAST(sum(gap) AS BIGINT) AS seconds FROM (SELECT event_type, epoch(date_trunc('second', ts))::BIGINT - lag(epoch(date_trunc('second', ts))::BIGINT) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS gap FROM events) GROUP BY event_type")
 def _(s, d):
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
@@ -402,7 +402,7 @@ def flagship(spark: SparkSession, d: str) -> DataFrame:
     sets = chunks.select("chunk", words.alias("words"))
     if not docs.groupBy("doc_id").count().filter("count > 1").isEmpty():
         sets = sets.groupBy("chunk").agg(F.array_distinct(F.flatten(F.collect_list("words"))).alias("words"))
-    sets = G.written(sets, "flagship-words")
+    sets = cut(sets, "flagship-words")
     common = F.array(*[F.lit(w) for w in G.too_common(sets, "words")]).cast("array<string>")
     pruned = sets.select("chunk", F.substring_index("chunk", ":", 1).alias("doc"), F.array_except("words", common).alias("words"))
     return G.top_shared_pairs(pruned, "chunk", "doc", "words", 20)

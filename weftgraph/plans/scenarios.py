@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from weftgraph.operators import graph as G
+from weftgraph.operators import similarity as X
 from weftgraph.operators import scenario as S
 from weftgraph.plans.core import _t, query
-from weftgraph.sources.files import without_dangling
+from weftgraph.sources.graphs import without_dangling
 
 PHRASES = "t AS (SELECT DISTINCT d, unnest(string_split_regex(lower(d), '[\\s_-]+')) AS w FROM (SELECT p_name || ' ' || p_type || ' ' || p_brand AS d FROM part))"
 
@@ -16,7 +16,7 @@ PHRASES = "t AS (SELECT DISTINCT d, unnest(string_split_regex(lower(d), '[\\s_-]
 def _(s, d):
     phrases = _t(s, d, "part").select(F.concat_ws(" ", "p_name", "p_type", "p_brand").alias("d"))
     rows = phrases.select("d", F.explode(F.split(F.lower("d"), r"[\s_-]+")).alias("w"))
-    pairs = G.jaccard_join(rows, "d", "w", 0.6)
+    pairs = X.jaccard_join(rows, "d", "w", 0.6)
     return pairs.select("a", "b", F.when(F.length("b") < F.length("a"), F.col("b")).otherwise(F.col("a")).alias("canonical"))
 
 
