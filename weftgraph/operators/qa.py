@@ -70,7 +70,7 @@ def feedback(ground: Column, accuracy: Column, two_hop: Column, needs_verdict: C
     said = lambda c: F.nullif(c, F.lit(""))
     low = lambda c, text: F.when(c < threshold, F.lit(text))
     hop = F.concat_ws(" | ", F.concat(F.lit("2hop question: "), said(needs_verdict)), F.concat(F.lit("2hop answer: "), said(uses_verdict)))
-    none = F.when((two_hop < threshold) & (hop == ""), F.concat(F.lit("two_hop: score "), F.format_number(two_hop, "0.00"), F.lit(" below threshold")))
+    none = F.when((two_hop < threshold) & (hop == ""), F.concat(F.lit("two_hop: score "), F.format_string("%.2f", two_hop), F.lit(" below threshold")))
     join = lambda *parts: F.concat_ws(" | ", *parts)
     return {
         "feedback": join(said(hop), low(ground, GROUNDED), low(accuracy, SPECIFIC), none),

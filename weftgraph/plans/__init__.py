@@ -1,3 +1,3 @@
 """Named queries over the driver's tables."""
 
-from weftgraph.plans import core, scenarios  # noqa: F401  registers its queries
+from weftgraph.plans import chunks, core, questions, scenarios  # noqa: F401  registers its queries
