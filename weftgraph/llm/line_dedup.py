@@ -71,7 +71,8 @@ def _kept_runs(gone: Column, n_lines: Column) -> Column:
 
 
 def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 40, spread: int = 5) -> DataFrame:
-    """df with _ld_n_lines, _ld_n_dropped, _ld_keep_runs and _ld_text (what stays) added."""
+    """df with _ld_n_lines, _ld_n_dropped, _ld_keep_runs and _ld_text (what stays) added; columns of df named _ld_… give way."""
+    df = df.drop(*[c for c in df.columns if c.startswith("_ld_")])
     docs = df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     maps = keep_bitmaps(docs, least, spread).select(F.col("doc_id").alias("_ld_id"), F.col("row_print").alias("_ld_print"), F.col("n_dropped").alias("_ld_gone"), F.col("keep").alias("_ld_keep"))
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -91,5 +92,6 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
 
 def deduped_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **limits) -> DataFrame:
     """df's rows and columns with the lines that go taken out of the text."""
-    out = dedup_lines(df, id_col, text_col, **limits)
-    return out.select(*[(F.col("_ld_text") if c == text_col else F.col(f"`{c}`")).alias(c) for c in df.columns])
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.col(id_col).alias("key"), F.col(text_col).alias("text"))
+    out = dedup_lines(rows, "key", "text", **limits)
+    return out.select(*[(F.col("_ld_text") if c == text_col else F.col(f"row.`{c}`")).alias(c) for c in df.columns])

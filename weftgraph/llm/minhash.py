@@ -274,4 +274,6 @@ def _sharing_differences(placed: DataFrame, percent: int) -> DataFrame:
 def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **limits) -> DataFrame:
     """df's rows and columns, of each group the document with the smallest id."""
     kept = near_groups(df, id_col, text_col, **limits).filter("kept and doc_id is not null").select(F.col("doc_id").alias("_mh_id")).distinct()
-    return df.join(kept, F.col(id_col) == F.col("_mh_id"), "left_semi").unionByName(df.filter(F.col(id_col).isNull()))
+    # df's columns travel in one struct, so that none of their names can clash
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.col(id_col).alias("key"))
+    return rows.join(kept, F.col("key") == F.col("_mh_id"), "left_semi").select("row.*").unionByName(df.filter(F.col(id_col).isNull()))

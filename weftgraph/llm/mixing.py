@@ -10,6 +10,9 @@ the last boundary is at most one document (more only with equal ids); it takes a
 the target is met to a word. All of it works on partial aggregates, so a source with a third of
 all rows costs no more than others.
 
+The targets are windows over one row per source in one task: sources are collections, some thousands at most; where they
+are as many as hosts, group them before.
+
 Defined cases: null text has size 0; a null source is a source, sorted last; a null doc_id hashes as
 the text "null"; rows with equal ids share what falls to them, rounded down; an empty table gives an
 empty result; other columns are not looked at.

@@ -285,6 +285,7 @@ def threshold(net: Network | None, lang: Column) -> Column:
 def clean_documents(docs: DataFrame, labels: DataFrame, train_rows: Column, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """The rows of docs, all columns, whose score stays below their language's threshold."""
     net = fit(docs, labels, train_rows, lang_col=lang_col, text_col=text_col)
-    scored = docs.withColumn("_tox_score", score(docs, net, F.col(text_col)))
     lang = F.col(lang_col) if lang_col in docs.columns else F.lit(None).cast("string")
-    return scored.filter(F.col("_tox_score") < threshold(net, lang)).drop("_tox_score")
+    # df's columns travel in one struct, so that none of their names can clash
+    scored = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), score(docs, net, F.col(text_col)).alias("score"), threshold(net, lang).alias("line"))
+    return scored.filter("score < line").select("row.*")
