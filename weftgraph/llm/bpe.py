@@ -31,7 +31,7 @@ from weftgraph.llm.common import bounded_batches
 from weftgraph.llm.textbytes import AS_IS, Spans, column_bytes, mix, slices
 
 #: Merged pre-tokens that a worker remembers, in two halves of so many (about 250 bytes each).
-MEMO = 250_000
+MEMO = 60_000
 _LETTER, _NUMBER, _WHITE, _OTHER = 1, 2, 3, 4
 
 

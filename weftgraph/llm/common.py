@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 from weftgraph.storage import cut, discard, shared_dir  # noqa: F401  the operators' own import them from here
 
 #: Bytes and rows of an Arrow batch sent to a Python worker, so that a worker's memory stays bounded.
-BATCH_BYTES = 8 << 20
-BATCH_ROWS = 4096
-#: The bitmap by which among() picks rows: 32 MB at most.
+BATCH_BYTES = 4 << 20
+BATCH_ROWS = 2048
+#: The bitmap by which rows are picked: 32 MB at most.
 BITMAP_BITS = 1 << 28
 
 
@@ -39,9 +39,9 @@ def two_columns(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
-def among(rows: DataFrame, ids: DataFrame, col: str) -> DataFrame:
-    """rows whose col is one of ids, and a few others: by a bitmap of at most BITMAP_BITS."""
-    spark = rows.sparkSession
+def maybe_in(ids: DataFrame, col: str) -> Column:
+    """Whether col is one of ids: false is certain, true is not. By a bitmap of at most BITMAP_BITS."""
+    spark = ids.sparkSession
     bits = 1 << 16
     while bits < min(BITMAP_BITS, 16 * ids.count()):
         bits *= 2
@@ -58,7 +58,12 @@ def among(rows: DataFrame, ids: DataFrame, col: str) -> DataFrame:
             at = col.to_numpy(zero_copy_only=False) - 1
             yield pa.array((shared.value[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool))
 
-    return rows.filter(F.arrow_udf(known, "boolean")(slot))
+    return F.arrow_udf(known, "boolean")(slot)
+
+
+def among(rows: DataFrame, ids: DataFrame, col: str) -> DataFrame:
+    """rows whose col is one of ids, and a few others."""
+    return rows.filter(maybe_in(ids, col))
 
 
 def is_held_out(doc_id, modulus: int, remainder: int):

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import among, apart, bounded_batches, cut, discard, two_columns
+from weftgraph.llm.common import among, apart, bounded_batches, cut, discard, maybe_in, two_columns
 from weftgraph.llm.components import components
 from weftgraph.llm.textbytes import SPACE, Spans, column_bytes, mix, runs, slices
 
@@ -273,7 +273,12 @@ def _sharing_differences(placed: DataFrame, percent: int) -> DataFrame:
 
 def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **limits) -> DataFrame:
     """df's rows and columns, of each group the document with the smallest id."""
-    kept = near_groups(df, id_col, text_col, **limits).filter("kept and doc_id is not null").select(F.col("doc_id").alias("_mh_id")).distinct()
+    gone = near_groups(df, id_col, text_col, **limits).filter("not kept and doc_id is not null").select(F.col("doc_id").alias("_mh_id")).distinct()
+    gone = cut(gone, "mh-gone")
     # df's columns travel in one struct, so that none of their names can clash
     rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.col(id_col).alias("key"))
-    return rows.join(kept, F.col("key") == F.col("_mh_id"), "left_semi").select("row.*").unionByName(df.filter(F.col(id_col).isNull()))
+    # what the bitmap does not know stays where it is; only the rest is shuffled to be decided
+    maybe = maybe_in(gone.select(F.col("_mh_id").alias("key")), "key")
+    certain = rows.filter(~maybe | F.col("key").isNull())
+    decided = rows.filter(maybe & F.col("key").isNotNull()).join(gone.hint("merge"), F.col("key") == F.col("_mh_id"), "left_anti")
+    return certain.unionByName(decided).select("row.*")
