@@ -96,7 +96,9 @@ def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     prints = fingerprints(docs)
     key = ["fp", "n_bytes"]
     shared = prints.groupBy(key).agg(F.count("*").alias("n")).filter("n > 1 and n_bytes > 0").drop("n")
-    suspects = cut(prints.join(apart(shared), key).select(F.col("doc_id").alias("s_id"), *key).distinct(), "exact-suspects")
+    # written before it is made distinct: an aggregate by the join's key would keep a large group's rows in one task
+    found = cut(prints.join(apart(shared), key).select(F.col("doc_id").alias("s_id"), *key), "exact-suspects")
+    suspects = found.distinct()
     pieces = (
         among(docs, suspects.select(F.col("s_id").alias("doc_id")), "doc_id")
         .join(suspects.hint("merge"), F.col("doc_id").eqNullSafe(F.col("s_id")))
@@ -108,7 +110,7 @@ def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         pieces.groupBy(*key, "at").agg(F.min("piece").alias("lo"), F.max("piece").alias("hi")).filter("lo <> hi").select(key).distinct()
     )
     differing = cut(differing, "exact-differing")
-    discard(suspects)
+    discard(found)
     # with the few broadcast, rows stay where they are: equal texts are not dealt to one task
     split = differing.withColumn("split", F.lit(True))
     split = F.broadcast(split) if split.limit(FEW + 1).count() <= FEW else split.hint("merge")
