@@ -370,3 +370,19 @@ def test_live_jobs_and_windows(spark, tmp_path):
     assert sorted((r.job, r.state) for r in spark.read.parquet(f"{out}/v=1").collect()) == [("j1", "running"), ("j2", "queued")]
     events = spark.createDataFrame([("2024-01-01 00:10:00", "a"), ("2024-01-01 00:50:00", "a")], "t string, s string").withColumn("t", F.to_timestamp("t"))
     assert [r.n for r in ingest.stage_windows(events, "t", "s").collect()] == [2]
+
+
+@pytest.mark.parametrize(("low", "terms"), [(0.05, 12), (0.7, 300)])
+def test_cosine_terms_against_all_pairs(spark, low, terms):
+    """A low band adds products up, a high one verifies what prefixes leave."""
+    rng = random.Random(6)
+    vecs = {}
+    for i in range(60):
+        base = random.Random(i % 12).sample(range(terms), 8)
+        v = {t: rng.random() + 0.2 for t in base[: rng.randrange(3, 9)]}
+        norm = math.sqrt(sum(x * x for x in v.values()))
+        vecs[i] = {t: x / norm for t, x in v.items()}
+    rows = spark.createDataFrame([(i, t, x) for i, v in vecs.items() for t, x in v.items()], "d long, t long, weight double")
+    cos = lambda a, b: sum(x * vecs[b].get(t, 0.0) for t, x in vecs[a].items())
+    want = {(a, b) for a in vecs for b in vecs if a < b and low <= cos(a, b) <= 0.99}
+    assert {(r.a, r.b) for r in X.cosine_terms(rows, "d", "t", low, 0.99).collect()} == want

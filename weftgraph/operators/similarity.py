@@ -87,6 +87,13 @@ def cosine_terms(weights: DataFrame, doc: str, term: str, low: float, high: floa
         w = w.join(w.groupBy("t").agg(F.count("*").alias("df")), "t")
     order = Window.partitionBy("d").orderBy("df", "t").rowsBetween(Window.currentRow, Window.unboundedFollowing)
     w = cut(w.withColumn("rest", F.sqrt(F.sum(F.col("weight") * F.col("weight")).over(order))), "weights")
+    counts = w.groupBy("t").agg(F.count("*").alias("all"), F.count_if(F.col("rest") >= low - 1e-9).alias("some"))
+    cost = counts.agg(F.sum(F.col("all") * F.col("all")).alias("whole"), F.sum(F.col("some") * F.col("some")).alias("prefix"), F.sum("all").alias("n")).first()
+    docs = w.select("d").distinct().count()
+    # where prefixes leave most pairs (a low band), adding up products of all shared terms costs less than verifying pairs
+    if not docs or cost.prefix * 2 * cost.n / docs >= cost.whole:
+        left, right = w.select(F.col("d").alias("a"), "t", F.col("weight").alias("wa")), w.select(F.col("d").alias("b"), "t", F.col("weight").alias("wb"))
+        return left.join(right, "t").filter("a < b").groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("cosine")).filter(F.col("cosine").between(low, high))
     prefix = w.filter(F.col("rest") >= low - 1e-9)
     left, right = prefix.select(F.col("d").alias("a"), "t"), prefix.select(F.col("d").alias("b"), "t")
     near = left.join(right, "t").filter("a < b").select("a", "b").distinct()

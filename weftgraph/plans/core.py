@@ -248,9 +248,9 @@ def _conv_words(s, d):
     return _t(s, d, "conversations").select(F.col("conv_id").alias("d"), F.explode(T.tokens(F.lower("text"))).alias("w"))
 
 
-@query("jaccard_join", f"WITH {CONV_WORDS}, n AS (SELECT d, count(*) AS n FROM t GROUP BY d), p AS (SELECT a.d AS a, b.d AS b, count(*) AS k FROM t a JOIN t b ON a.w = b.w AND a.d < b.d GROUP BY a.d, b.d) SELECT a, b, round(k / (x.n + y.n - k), 6) AS jaccard FROM p JOIN n x ON x.d = a JOIN n y ON y.d = b WHERE k / (x.n + y.n - k) >= 0.1")
+@query("jaccard_join", f"WITH {CONV_WORDS}, n AS (SELECT d, count(*) AS n FROM t GROUP BY d), p AS (SELECT a.d AS a, b.d AS b, count(*) AS k FROM t a JOIN t b ON a.w = b.w AND a.d < b.d GROUP BY a.d, b.d) SELECT a, b, round(k / (x.n + y.n - k), 6) AS jaccard FROM p JOIN n x ON x.d = a JOIN n y ON y.d = b WHERE k / (x.n + y.n - k) >= 0.12")
 def _(s, d):
-    return X.jaccard_join(_conv_words(s, d), "d", "w", 0.1).select("a", "b", F.round("jaccard", 6).alias("jaccard"))
+    return X.jaccard_join(_conv_words(s, d), "d", "w", 0.12).select("a", "b", F.round("jaccard", 6).alias("jaccard"))
 
 
 @query("tfidf_cosine", "WITH t AS (SELECT conv_id AS d, unnest(regexp_extract_all(lower(text), '[^\\s\\p{Z}]+')) AS w FROM conversations), f AS (SELECT d, w, count(*) AS tf FROM t GROUP BY d, w), g AS (SELECT w, count(*) AS df FROM f GROUP BY w), n AS (SELECT count(DISTINCT d) AS n FROM f), x AS (SELECT d, w, tf * (ln((1 + n) / (1 + df)) + 1) AS v FROM f JOIN g USING (w), n), y AS (SELECT d, w, v / sqrt(sum(v * v) OVER (PARTITION BY d)) AS v FROM x), c AS (SELECT a.d AS a, b.d AS b, sum(a.v * b.v) AS c FROM y a JOIN y b ON a.w = b.w AND a.d < b.d GROUP BY a.d, b.d) SELECT a, b, round(c, 4) AS cosine FROM c WHERE c BETWEEN 0.2 AND 0.9")
