@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,31 +35,26 @@ def two_columns(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
-def maybe_in(ids: DataFrame, col: str) -> Column:
-    """Whether col is one of ids: false is certain, true is not. By a bitmap of at most BITMAP_BITS."""
-    spark = ids.sparkSession
+def marked(rows: DataFrame, ids: DataFrame, col: str, mark: str = "_maybe") -> DataFrame:
+    """rows with mark: whether col is one of ids. False is certain, true is not: by a bitmap of at most BITMAP_BITS.
+
+    The bitmap is a table of 4 KB pieces, at most BITMAP_BITS / 8 bytes together, which is the proven bound of its broadcast.
+    """
     bits = 1 << 16
     while bits < min(BITMAP_BITS, 16 * ids.count()):
         bits *= 2
     slot = F.pmod(F.xxhash64(col), F.lit(bits)) + 1
-    # at most bits / 32768 rows of 4 KB reach the driver
-    filled = ids.select(slot.alias("s")).groupBy(F.bitmap_bucket_number("s").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("s")).alias("b")).toArrow()
-    held = np.zeros(bits // 8, np.uint8)
-    for k, b in zip(filled.column("k").to_pylist(), filled.column("b").to_pylist(), strict=True):
-        held[4096 * (k - 1) : 4096 * k] = np.frombuffer(b, np.uint8)
-    shared = spark.sparkContext.broadcast(held)
-
-    def known(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for col in batches:
-            at = col.to_numpy(zero_copy_only=False) - 1
-            yield pa.array((shared.value[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool))
-
-    return F.arrow_udf(known, "boolean")(slot)
+    pieces = ids.select(slot.alias("s")).groupBy(F.bitmap_bucket_number("s").alias("_piece")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("s")).alias("_bits"))
+    placed = rows.withColumn("_slot", slot).withColumn("_at", F.bitmap_bit_position("_slot"))
+    both = placed.join(F.broadcast(pieces), F.bitmap_bucket_number("_slot") == F.col("_piece"), "left")
+    byte = F.conv(F.hex(F.substr("_bits", (F.floor(F.col("_at") / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    bit = F.call_function("shiftright", byte, F.pmod("_at", F.lit(8)).cast("int")).bitwiseAND(F.lit(1)) == 1
+    return both.withColumn(mark, F.coalesce(bit, F.lit(False))).drop("_slot", "_at", "_piece", "_bits")
 
 
 def among(rows: DataFrame, ids: DataFrame, col: str) -> DataFrame:
     """rows whose col is one of ids, and a few others."""
-    return rows.filter(maybe_in(ids, col))
+    return marked(rows, ids, col).filter("_maybe").drop("_maybe")
 
 
 def is_held_out(doc_id, modulus: int, remainder: int):

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import among, apart, bounded_batches, cut, discard, maybe_in, two_columns
+from weftgraph.llm.common import among, apart, bounded_batches, cut, discard, marked, two_columns
 from weftgraph.llm.components import components
 from weftgraph.llm.textbytes import SPACE, Spans, column_bytes, mix, runs, slices
 
@@ -278,7 +278,6 @@ def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *
     # df's columns travel in one struct, so that none of their names can clash
     rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.col(id_col).alias("key"))
     # what the bitmap does not know stays where it is; only the rest is shuffled to be decided
-    maybe = maybe_in(gone.select(F.col("_mh_id").alias("key")), "key")
-    certain = rows.filter(~maybe | F.col("key").isNull())
-    decided = rows.filter(maybe & F.col("key").isNotNull()).join(gone.hint("merge"), F.col("key") == F.col("_mh_id"), "left_anti")
-    return certain.unionByName(decided).select("row.*")
+    maybe = marked(rows, gone.select(F.col("_mh_id").alias("key")), "key")
+    decided = maybe.filter("_maybe and key is not null").join(gone.hint("merge"), F.col("key") == F.col("_mh_id"), "left_anti")
+    return maybe.filter("not _maybe or key is null").unionByName(decided).select("row.*")
