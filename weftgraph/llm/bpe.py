@@ -27,7 +27,7 @@ import regex
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import bounded_batches
+from weftgraph.llm.common import bounded_batches, tidy
 from weftgraph.llm.textbytes import AS_IS, Spans, column_bytes, mix, slices
 
 #: Merged pre-tokens that a worker remembers, in two halves of so many (about 250 bytes each).
@@ -268,6 +268,7 @@ def _udf(spark: SparkSession, coder: Codec, kind: str, fields):
     bounded_batches(spark)
     shared = spark.sparkContext.broadcast(coder)  # the rank file: under 2 MB, whatever the corpus
 
+    @tidy
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = shared.value
         own.prepare()
@@ -323,6 +324,7 @@ def token_text(spark: SparkSession, ids: Column, coder: Codec) -> Column:
     bounded_batches(spark)
     shared = spark.sparkContext.broadcast(coder)
 
+    @tidy
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = shared.value
         own.prepare()

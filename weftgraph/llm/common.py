@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import functools
+from collections.abc import Callable
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,6 +30,24 @@ def bounded_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+def tidy(run: Callable) -> Callable:
+    """run, an Arrow UDF over an iterator of batches, that gives freed memory back to the system when its task ends.
+
+    Workers are used again by later tasks and stages, and their allocators would keep the most that any task took.
+    """
+
+    @functools.wraps(run)
+    def tidied(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(AttributeError):  # a C library without it
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return tidied
+
+
 def apart(df: DataFrame) -> DataFrame:
     """An aggregate, dealt anew: as the result of an exchange of its own it lets adaptive execution split the
     other side of a join where one key is very common, which it can't above an aggregate by that key."""

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import among, apart, bounded_batches, cut, discard, marked, two_columns
+from weftgraph.llm.common import among, apart, bounded_batches, cut, discard, marked, tidy, two_columns
 from weftgraph.llm.components import components
 from weftgraph.llm.textbytes import SPACE, Spans, column_bytes, mix, runs, slices
 
@@ -92,6 +92,7 @@ def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
 
 
 def _hashed(words: int, with_sketch: bool):
+    @tidy
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for col in batches:
             data, at = column_bytes(col)
@@ -116,6 +117,7 @@ def _split(col: pa.Array) -> list[np.ndarray]:
     return [flat[a:b] for a, b in zip(ends[:-1] - ends[0], ends[1:] - ends[0], strict=True)]
 
 
+@tidy
 def _differences(pairs: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
     """The shingles of exactly one of two sets."""
     for left, right in pairs:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import bounded_batches, labelled_sample
+from weftgraph.llm.common import bounded_batches, labelled_sample, tidy
 from weftgraph.llm.textbytes import AS_IS, SPACE, Spans, column_bytes, runs, slices
 
 #: Labelled rows by class that training may use.
@@ -182,6 +182,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: Column, id_col: str = "d
     return train([(t >> 4, (t & 15).astype(np.int8)) for t in both], np.array(got.column("label").to_pylist(), np.int64))
 
 
+@tidy
 def _token_ids(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     for col in batches:
         data, at = column_bytes(col)
@@ -200,6 +201,7 @@ def score(docs: DataFrame, net: Network | None, text: Column) -> Column:
     bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(net)
 
+    @tidy
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for col in batches:
             data, at = column_bytes(col)
