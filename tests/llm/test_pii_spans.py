@@ -85,3 +85,15 @@ def test_many_candidates_take_time_in_proportion(spark):
     seconds(100)
     few, many = seconds(10_000), seconds(80_000)
     assert many < 16 * max(few, 1)
+
+
+def test_a_secret_is_found_in_a_text_without_digits(spark):
+    own = ["password: hunter", "no secret here", 'api key="correct-horse-battery" and more', "", "secret = abc", "é 😀 token=ghp_abcdefgh"]
+    docs = [*enumerate(own), *[(100 + i, f"{t} 7") for i, t in enumerate(own)], *[(200 + i, f"see abcdefgh{i} and /path/{i}{i}{i}{i}{i}{i}{i}{i}") for i in range(40)]]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r.doc_id: r.candidates for r in pii._found(df).select("doc_id", "candidates").collect()}
+    assert [[c.value for c in got[i]] for i in range(6)] == [["hunter"], [], ["correct-horse-battery"], [], [], ["ghp_abcdefgh"]]
+    assert all(own[i][c.start : c.end] == c.value for i in range(6) for c in got[i])
+    spans = {r.doc_id: r.all_spans for r in pii.personal_data(df).collect()}
+    # a digit elsewhere in the text changes nothing, and every secret after a key word is kept
+    assert all(spans[i] == spans[100 + i] for i in range(6)) and [len(spans[i]) for i in range(6)] == [1, 0, 1, 0, 0, 1]

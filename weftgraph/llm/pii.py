@@ -37,14 +37,18 @@ EXTRA = ("secret", "account")
 _RANK = {k: i for i, k in enumerate([*BASE, *EXTRA])}
 SECRET_WORDS = "password|passwd|pwd|passphrase|token|secret|api.?key|access.?key|auth|bearer|credential"
 ACCOUNT_WORDS = "account|acct|iban|konto|compte|cuenta|ssn|social security|passport|customer (?:no|number)"
+_KEY = "(?i:password|passwd|pwd|passphrase|secret|token|key)"
 #: What may be a secret or an account number: what follows a key word and a sign, groups of digits and capitals
-#: joined by hyphens or spaces, and runs of 8 or more letters and digits with a digit.
+#: joined by hyphens or spaces, and runs of 8 or more letters and digits with a digit. The first look-behind, of one
+#: character, only spares most places the second.
 CANDIDATE = (
-    r"(?<=(?i:password|passwd|pwd|passphrase|secret|token|key)[ ]?[:=][ ]?[\"']?)[A-Za-z0-9!#$%&*+/=?^_~.-]{5,}+"
+    rf"(?<=[:=\x20\"'])(?<={_KEY}[ ]?[:=][ ]?[\"']?)[A-Za-z0-9!#$%&*+/=?^_~.-]{{5,}}+"
     r"|(?<![A-Za-z0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![A-Za-z0-9-])"
     r"|(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
     r"|(?<![A-Za-z0-9])(?=[A-Za-z]*+[0-9])[A-Za-z0-9]{8,}+"
 )
+#: What a text without digits holds if it has a candidate: only those behind a key word and a sign need no digit.
+SIGNED = rf"[:=](?<={_KEY}[ ]?[:=])"
 #: Characters kept before a candidate.
 BEFORE = 24
 PREFIXES = "AKIA|ASIA|AIza|ghp|gho|xox|sk_|pk_|eyJ"
@@ -132,12 +136,16 @@ def _checked(kind: str) -> Column:
 
 
 def _found(docs: DataFrame) -> DataFrame:
-    """One pass over the texts: spans of every base kind and the candidates of each document."""
+    """One pass over the texts: spans of every base kind and the candidates of each document.
+
+    Each is looked for where the text holds what every match of it needs: base kinds a character, candidates a digit or
+    a key word and a sign.
+    """
     text = F.col("text")
     has = {"email": F.contains(text, F.lit("@")), "phone": F.contains(text, F.lit("+")), "ip": F.col("_digit"), "card": F.col("_digit")}
     none = F.array().cast("array<struct<value:string,size:int,gap:int,before:string,after:string>>")
     rows = docs.withColumn("_digit", text.rlike("[0-9]"))
-    rows = rows.select("doc_id", *[F.when(has[k], _matches(text, p)).otherwise(none).alias(k) for k, p in BASE.items()], F.when(F.col("_digit"), _matches(text, CANDIDATE)).otherwise(none).alias("candidates"))
+    rows = rows.select("doc_id", *[F.when(has[k], _matches(text, p)).otherwise(none).alias(k) for k, p in BASE.items()], F.when(F.col("_digit") | text.rlike(SIGNED), _matches(text, CANDIDATE)).otherwise(none).alias("candidates"))
     rows = rows.select("doc_id", *[_placed(F.col(k)).alias(k) for k in [*BASE, "candidates"]])
     kept = [_checked(k).alias(k) for k in BASE]
     return rows.select("doc_id", *kept, "candidates")
