@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -177,6 +178,14 @@ def test_media(docs, empty):
     assert rows(media.media_features(empty)) == []
 
 
+def test_tensors_come_in_batches_of_bounded_size():
+    stored = [media.encode(media.pad(bytes([k]) * (150_000 if k else 2_000_000))) for k in range(20)]
+    got = list(media._read_media(iter([pa.array(stored), pa.array([], pa.binary())])))
+    sizes = [r["media_bytes"] for b in got for r in b.to_pylist()]
+    assert sizes == [len(x) for x in stored] and len(got) > 4
+    assert all(len(b) == 1 or sum(r["media_bytes"] for r in b.to_pylist()) <= 1 << 20 for b in got)
+
+
 def test_rgb_against_a_plain_inverse_transform():
     """Every sample by the defining double sum, chroma repeated, colours by the standard's matrix."""
     image = media.decode(media.encode(media.pad(bytes(range(256)) * 3)))

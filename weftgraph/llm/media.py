@@ -29,9 +29,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import bounded_batches, cut, two_columns
+from weftgraph.llm.common import bounded_batches, cut, tidy, two_columns
 
 UNIT = 576
+#: Bytes of media that are read into one Arrow batch of tensors, which take twice as much; a larger one has a batch of its own.
+READ_BYTES = 1 << 20
 BANDS = ((1, 5), (6, 63))
 _BYTES = np.arange(256)
 #: The coefficient of each byte: -2..-129 for the lower half, 2..129 for the upper.
@@ -433,14 +435,19 @@ _READ = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes
 def _read_media(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     names = [x.split()[0] for x in _READ.split(", ")]
     types = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.binary()]
+    made = lambda out: pa.StructArray.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(types)], names)
     for col in batches:
-        out = []
+        out, size = [], 0
         for x in col:
             media = x.as_py()
+            if out and size + len(media) > READ_BYTES:
+                yield made(out)
+                out, size = [], 0
+            size += len(media)
             image = decode(media)
             payload, rgb = payload_of(image), tensor(image)
             out.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(media), hashlib.sha256(media).hexdigest(), *rgb.shape[:2], rgb.tobytes()))
-        yield pa.StructArray.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(types)], names)
+        yield made(out)
 
 
 def _describe(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
@@ -452,14 +459,14 @@ def _describe(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
 def media_column(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes and media: the stored form of every text."""
     bounded_batches(df.sparkSession)
-    made = F.arrow_udf(_encode, "n_bytes long, media binary").asNondeterministic()
+    made = F.arrow_udf(tidy(_encode), "n_bytes long, media binary").asNondeterministic()
     return two_columns(df, id_col, text_col).select("doc_id", made("text").alias("m")).select("doc_id", "m.*")
 
 
 def tensor_column(media: DataFrame) -> DataFrame:
     """The other columns of media, what its payloads decode to, and height, width and rgb (row-major bytes of every image)."""
     bounded_batches(media.sparkSession)
-    read = F.arrow_udf(_read_media, _READ).asNondeterministic()
+    read = F.arrow_udf(tidy(_read_media), _READ).asNondeterministic()
     rest = [c for c in media.columns if c != "media"]
     return media.select(*rest, read("media").alias("f")).select(*rest, "f.*")
 
@@ -468,4 +475,4 @@ def media_features(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """Store every text as media in a table, read it back to tensors, and describe these; the tensors are columns of the result."""
     stored = cut(media_column(df, id_col, text_col), "media")
     tensors = tensor_column(stored)
-    return tensors.withColumn("feature", F.arrow_udf(_describe, "string")("height", "width", "rgb"))
+    return tensors.withColumn("feature", F.arrow_udf(tidy(_describe), "string")("height", "width", "rgb"))
