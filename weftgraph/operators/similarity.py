@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftgraph.functions.text import jaccard, tokens
+from weftgraph.operators.products import JOINED, products
 from weftgraph.storage import cut
 
 #: Vectors of one block of the dense join; a task holds two blocks.
@@ -32,10 +33,16 @@ def jaccard_join(rows: DataFrame, doc: str, item: str, least: float) -> DataFram
 
     Items are ordered rarest first; a pair that reaches the similarity shares an item among the first
     n - ceil(least * n) + 1 of each. Behind the first one shared there must be room for the overlap that is needed.
-    Every set is one row; a candidate meets each of its two sets once.
+    Every set is one row; a candidate meets each of its two sets once. Where prefixes would meet in more than JOINED pairs
+    for each set, which grow faster than the input, all pairs are multiplied block by block instead.
     """
     sets = _by_rarity(rows, doc, item)
     prefix = sets.select("d", "n", F.posexplode(F.slice("items", F.lit(1), F.greatest(F.lit(1), F.col("n") - F.ceil(F.col("n") * least - 1e-9).cast("int") + 1))).alias("pos", "i"))
+    met = prefix.groupBy("i").agg(F.count("*").alias("f")).agg(F.sum(F.col("f") * F.col("f"))).first()[0] or 0
+    if met > JOINED * sets.count():
+        rows = sets.select("d", F.explode("items").alias("t"), F.lit(1.0).cast("float").alias("weight"), "n")
+        met = products(rows, lambda k, x, y: k / (x + y - k) >= least, np.float32)
+        return met.select("a", "b", (F.col("k") / (F.col("n_a") + F.col("n_b") - F.col("k"))).alias("jaccard"))
     left, right = [prefix.select("i", *[F.col(c).alias(f"{c}_{s}") for c in ("d", "n", "pos")]) for s in "xy"]
     need = F.ceil((F.col("n_x") + F.col("n_y")) * least / (1 + least) - 1e-9)
     room = F.least(F.col("n_x") - F.col("pos_x"), F.col("n_y") - F.col("pos_y"))
@@ -87,13 +94,10 @@ def cosine_terms(weights: DataFrame, doc: str, term: str, low: float, high: floa
         w = w.join(w.groupBy("t").agg(F.count("*").alias("df")), "t")
     order = Window.partitionBy("d").orderBy("df", "t").rowsBetween(Window.currentRow, Window.unboundedFollowing)
     w = cut(w.withColumn("rest", F.sqrt(F.sum(F.col("weight") * F.col("weight")).over(order))), "weights")
-    counts = w.groupBy("t").agg(F.count("*").alias("all"), F.count_if(F.col("rest") >= low - 1e-9).alias("some"))
-    cost = counts.agg(F.sum(F.col("all") * F.col("all")).alias("whole"), F.sum(F.col("some") * F.col("some")).alias("prefix"), F.sum("all").alias("n")).first()
-    docs = w.select("d").distinct().count()
-    # where prefixes leave most pairs (a low band), adding up products of all shared terms costs less than verifying pairs
-    if not docs or cost.prefix * 2 * cost.n / docs >= cost.whole:
-        left, right = w.select(F.col("d").alias("a"), "t", F.col("weight").alias("wa")), w.select(F.col("d").alias("b"), "t", F.col("weight").alias("wb"))
-        return left.join(right, "t").filter("a < b").groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("cosine")).filter(F.col("cosine").between(low, high))
+    met = w.filter(F.col("rest") >= low - 1e-9).groupBy("t").agg(F.count("*").alias("f")).agg(F.sum(F.col("f") * F.col("f"))).first()[0] or 0
+    # where prefixes leave more pairs than grow with the input (a low band), all pairs are multiplied block by block
+    if met > JOINED * w.select("d").distinct().count():
+        return products(w.withColumn("n", F.lit(1)), lambda k, x, y: (k >= low) & (k <= high)).select("a", "b", F.col("k").alias("cosine"))
     prefix = w.filter(F.col("rest") >= low - 1e-9)
     left, right = prefix.select(F.col("d").alias("a"), "t"), prefix.select(F.col("d").alias("b"), "t")
     near = left.join(right, "t").filter("a < b").select("a", "b").distinct()
