@@ -6,6 +6,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+from weftgraph.operators import graph as G
 from weftgraph.operators import products as P
 from weftgraph.operators import similarity as X
 
@@ -53,3 +54,34 @@ def test_jaccard_of_common_items_shuffles_no_pairs(spark):
     got = X.jaccard_join(rows, "d", "x", 0.2)
     assert {(r.a, r.b) for r in got.collect()} == {(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.2}
     assert "Join" not in plan(got) and "Exchange" not in plan(got)
+
+
+def test_cosine_of_common_terms_shuffles_no_pairs(spark):
+    sets = common(random.Random(3))
+    rows = spark.createDataFrame([(i, x, 1 / len(s) ** 0.5) for i, s in sets.items() for x in s], "d long, t long, weight double")
+    got = X.cosine_terms(rows, "d", "t", 0.251, 0.349)
+    want = {(a, b): len(sets[a] & sets[b]) / (len(sets[a]) * len(sets[b])) ** 0.5 for a in sets for b in sets if a < b}
+    assert {(r.a, r.b): round(r.cosine, 9) for r in got.collect()} == {p: round(c, 9) for p, c in want.items() if 0.251 <= c <= 0.349}
+    assert "Join" not in plan(got) and "Exchange" not in plan(got)
+
+
+@pytest.mark.parametrize("items", [True, False])
+def test_keyphrase_overlap_of_common_phrases(spark, items):
+    sets = {i: {str(x) for x in s} for i, s in common(random.Random(4)).items()}
+    # rows of one node are one chunk
+    rows = [(i, sorted(s)[:15]) for i, s in sets.items()] + [(i, sorted(s)[10:]) for i, s in sets.items()]
+    got = X.keyphrase_overlap_join(spark.createDataFrame(rows, "n long, p array<string>"), "n", "p", score=0.012, exact=True, items=items)
+    want = {(a, b): sets[a] & sets[b] for a in sets for b in sets if a < b and len(sets[a] & sets[b]) / (len(sets[a]) * len(sets[b])) >= 0.012}
+    assert {(r.a, r.b): r.n_matches for r in got.collect()} == {p: len(s) for p, s in want.items()} and want
+    if items:
+        assert {(r.a, r.b): [x.x for x in r.overlapped_items] for r in got.collect()} == {p: sorted(s) for p, s in want.items()}
+    else:
+        assert "Join" not in plan(got) and "Exchange" not in plan(got)
+
+
+def test_shared_pairs_of_common_items_shuffle_no_pairs(spark):
+    sets = common(random.Random(5))
+    rows = spark.createDataFrame([(i, x) for i, s in sets.items() for x in s], "d long, x long")
+    got = G.shared_pairs(rows, "d", "x", 8)
+    assert {(r.a, r.b): r.shared for r in got.collect()} == {(a, b): len(sets[a] & sets[b]) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 8}
+    assert "Join" not in plan(got) and "Exchange" not in plan(got)

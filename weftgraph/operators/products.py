@@ -157,6 +157,11 @@ def block_count(spark: SparkSession, rows: int, entries: int) -> int:
     return max(1, own, min(8, rows // 512))
 
 
+def joinable(freq: DataFrame, rows: int) -> bool:
+    """Whether an equi-join by items that are f times in `rows` rows looks at no more than JOINED pairs for each row."""
+    return (freq.agg(F.sum(F.col("f") * F.col("f"))).first()[0] or 0) <= JOINED * rows
+
+
 def products(rows: DataFrame, rule: Rule, kind: type = np.float64, block_entries: int | None = None) -> DataFrame:
     """a, b, k, n_a, n_b: k is the sum of products of the weights of shared terms, of pairs a < b with k > 0 that the rule passes.
 

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftgraph.functions.text import jaccard, tokens
-from weftgraph.operators.products import JOINED, products
+from weftgraph.operators.products import JOINED, joinable, products
 from weftgraph.storage import cut
 
 #: Vectors of one block of the dense join; a task holds two blocks.
@@ -238,23 +238,33 @@ def similar_phrases(phrases: DataFrame, phrase: str, least: float = 0.9) -> Data
     return found.unionByName(found.select(F.col("y").alias("x"), F.col("x").alias("y"), "s")).unionByName(every.select("x", F.col("x").alias("y"), F.lit(1.0).alias("s")))
 
 
-def keyphrase_overlap_join(chunks: DataFrame, node: str, phrases: str, score: float = 0.02, similarity: float = 0.9, exact: bool = False) -> DataFrame:
+def keyphrase_overlap_join(chunks: DataFrame, node: str, phrases: str, score: float = 0.02, similarity: float = 0.9, exact: bool = False, items: bool = True) -> DataFrame:
     """a < b, n_matches, score and overlapped_items: pairs of chunks by their similar keyphrases.
 
     Keyphrases are compared lower-cased; score is the number of matching pairs of keyphrases over the product of both
-    numbers of keyphrases. exact counts only equal ones. Repeated phrases of a chunk count once.
+    numbers of keyphrases. exact counts only equal ones. Repeated phrases of a chunk count once,
+    and rows of one node are one chunk. Without items there are no overlapped_items. Exact pairs of common phrases are
+    counted block by block.
     """
-    sets = chunks.select(F.col(node).alias("d"), F.array_distinct(F.transform(phrases, F.lower)).alias("p")).filter(F.size("p") > 0)
+    sets = chunks.groupBy(F.col(node).alias("d")).agg(F.array_distinct(F.flatten(F.collect_list(F.transform(phrases, F.lower)))).alias("p")).filter(F.size("p") > 0)
     rows = cut(sets.select("d", F.size("p").alias("n"), F.explode("p").alias("x")), "keyphrases")
     left = rows.select(F.col("d").alias("a"), F.col("n").alias("na"), "x")
     right = rows.select(F.col("d").alias("b"), F.col("n").alias("nb"), F.col("x").alias("y"))
+    if exact and not joinable(rows.groupBy("x").agg(F.count("*").alias("f")), rows.count()):
+        found = products(rows.select("d", F.col("x").alias("t"), F.lit(1.0).alias("weight"), "n"), lambda k, x, y: k / (x * y) >= score)
+        one = lambda s: sets.select(F.col("d").alias(s), F.col("p").alias(f"p_{s}"))
+        pairs = found.select("a", "b", F.col("k").cast("long").alias("n_matches"), (F.col("k") / (F.col("n_a") * F.col("n_b"))).alias("score"))
+        if not items:
+            return pairs
+        overlapped = F.transform(F.array_sort(F.array_intersect("p_a", "p_b")), lambda x: F.struct(x.alias("x"), x.alias("y")))
+        return pairs.join(one("a"), "a").join(one("b"), "b").select("a", "b", "n_matches", "score", overlapped.alias("overlapped_items"))
     if exact:
         met = left.join(right, F.col("x") == F.col("y"))
     else:
         met = left.join(similar_phrases(rows, "x", similarity).drop("s"), "x").join(right, "y")
     pairs = met.filter("a < b").groupBy("a", "b", "na", "nb").agg(F.count("*").alias("n_matches"), F.array_sort(F.collect_list(F.struct("x", "y"))).alias("overlapped_items"))
     out = pairs.withColumn("score", F.col("n_matches") / (F.col("na") * F.col("nb")))
-    return out.filter(F.col("score") >= score).select("a", "b", "n_matches", "score", "overlapped_items")
+    return out.filter(F.col("score") >= score).select("a", "b", "n_matches", "score", *(["overlapped_items"] if items else []))
 
 
 def fuzzy_pairs(left: Column, right: Column, least: float = 0.6) -> Column:

@@ -138,7 +138,7 @@ def _(s, d):
 
 @query("kp_overlap", f"WITH {C_SQL}, u AS (SELECT DISTINCT id, unnest(kps) AS x FROM c), n AS (SELECT id, count(*) AS n FROM u GROUP BY id), m AS (SELECT a.id AS a, b.id AS b, count(*) AS n_matches FROM u a JOIN u b ON a.x = b.x AND a.id < b.id GROUP BY 1, 2) SELECT a, b, n_matches, round(n_matches / (x.n * y.n), 6) AS score FROM m JOIN n x ON x.id = a JOIN n y ON y.id = b WHERE n_matches / (x.n * y.n) >= 0.05")
 def _(s, d):
-    return X.keyphrase_overlap_join(_c(s, d), "id", "kps", score=0.05, exact=True).select("a", "b", "n_matches", F.round("score", 6).alias("score"))
+    return X.keyphrase_overlap_join(_c(s, d), "id", "kps", score=0.05, exact=True, items=False).select("a", "b", "n_matches", F.round("score", 6).alias("score"))
 
 
 @query("kp_overlap_fuzzy", "WITH u AS (SELECT DISTINCT p_size AS id, lower(p_name) AS x FROM part WHERE p_partkey % 5 = 0), n AS (SELECT id, count(*) AS n FROM u GROUP BY id), m AS (SELECT a.id AS a, b.id AS b, count(*) AS n_matches FROM u a JOIN u b ON jaro_winkler_similarity(a.x, b.x) >= 0.9 AND a.id < b.id GROUP BY 1, 2) SELECT a, b, n_matches, round(n_matches / (x.n * y.n), 6) AS score FROM m JOIN n x ON x.id = a JOIN n y ON y.id = b WHERE n_matches / (x.n * y.n) >= 0.1")
