@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftgraph.operators.products import joinable, products
 from weftgraph.storage import cut
 
 SEMANTIC = ("agent_discovered", "keyphrases_overlap", "cosine_similarity", "llm_triplet", "retrospective_entity")
@@ -35,8 +36,14 @@ def idf_prune(rows: DataFrame, doc: str, phrase: str, least: float = 0.693) -> D
 
 
 def shared_pairs(rows: DataFrame, doc: str, item: str, least: int = 1) -> DataFrame:
-    """a < b with the number of items that they share: an equi-join on items, never a cross join."""
-    r = rows.select(doc, item).distinct()
+    """a < b with the number of items that they share: an equi-join on items, never a cross join.
+
+    Where items are so common that it would look at more pairs than grow with the input, pairs are counted block by block.
+    """
+    r = cut(rows.select(doc, item).distinct(), "shared-items")
+    if not joinable(r.groupBy(item).agg(F.count("*").alias("f")), r.count()):
+        met = products(r.select(F.col(doc).alias("d"), F.col(item).alias("t"), F.lit(1.0).alias("weight"), F.lit(1.0).alias("n")), lambda k, x, y: k >= least)
+        return met.select("a", "b", F.col("k").cast("long").alias("shared"))
     left, right = r.select(F.col(doc).alias("a"), item), r.select(F.col(doc).alias("b"), item)
     return left.join(right, item).filter("a < b").groupBy("a", "b").agg(F.count("*").alias("shared")).filter(F.col("shared") >= least)
 
