@@ -15,6 +15,23 @@ def test_assign_types(spark):
     assert [r.question_type for r in got] == ["integration", "factual", "odd", "integration", "factual"]
 
 
+def test_assign_types_streams_sorted_groups(spark):
+    rows = [(None if i % 7 == 0 else i % 7, i * 37 % 1000, [["factual"], ["factual", "integration"], [], ["odd", "x"]][i * i % 4]) for i in range(1000)]
+    df = spark.createDataFrame(rows, "g int, ord int, types array<string>")
+    budget = {"integration": 0.5, "factual": 0.5}
+    want = {}
+    for g in {r[0] for r in rows}:
+        counts = dict.fromkeys(budget, 0)
+        for _, o, types in sorted((r for r in rows if r[0] == g), key=lambda r: r[1]):
+            known = [t for t in budget if t in types]
+            want[o] = max(known, key=lambda t: budget[t] - counts[t] / max(1, sum(counts.values()))) if known else (types or ["integration"])[0]
+            if want[o] in counts:
+                counts[want[o]] += 1
+    got = S.assign_types(df, "g", "ord", "types", budget)
+    assert {r.ord: r.question_type for r in got.collect()} == want
+    assert "FlatMapGroups" not in got._jdf.queryExecution().executedPlan().toString()  # a call into Python per group
+
+
 def test_files_and_graph(spark, tmp_path):
     (tmp_path / "in" / "sub").mkdir(parents=True)
     (tmp_path / "in" / "a.md").write_text("# A")

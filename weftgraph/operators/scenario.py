@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
@@ -29,24 +31,33 @@ def qualified(types: Column, taxonomy: list[str]) -> Column:
 def assign_types(rows: DataFrame, group: str, order: str, types: str, budget: dict[str, float]) -> DataFrame:
     """rows with question_type: of the compatible types the one furthest behind its target share, one row after another.
 
-    Every choice depends on all earlier ones of its group, so a group is one task, and only its order and types
-    are needed there. Of equal lags the type named first in the budget wins; without a known compatible type
-    the first compatible one is taken, else 'integration'.
+    Every choice depends on all earlier ones of its group, so a group is one task's; groups are read one behind the other from
+    sorted partitions, and only the counts of one group are kept. Of equal lags the type named first in the budget wins;
+    without a known compatible type the first compatible one is taken, else 'integration'.
     """
 
-    def assign(part: pd.DataFrame) -> pd.DataFrame:
-        counts, out = dict.fromkeys(budget, 0), []
-        for compatible in part.sort_values(order)[types]:
-            compatible = [] if compatible is None else list(compatible)
-            total = max(1, sum(counts.values()))
-            known = [t for t in budget if t in compatible]
-            pick = max(known, key=lambda t: budget[t] - counts[t] / total) if known else (compatible or ["integration"])[0]
-            if pick in counts:
-                counts[pick] += 1
-            out.append(pick)
-        return part.sort_values(order).assign(question_type=out)
-
-    return rows.groupBy(group).applyInPandas(assign, StructType([*rows.schema.fields, StructField("question_type", StringType())]))
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, total = dict.fromkeys(budget, 0), 0
+        for batch in batches:
+            out = []
+            for nth, compatible in zip(batch.column("_nth").to_pylist(), batch.column(types).to_pylist(), strict=True):
+                if nth == 1:
+                    counts, total = dict.fromkeys(budget, 0), 0
+                compatible = compatible or []
+                known = [t for t in budget if t in compatible]
+                n = max(1, total)
+                pick = max(known, key=lambda t: budget[t] - counts[t] / n) if known else (compatible or ["integration"])[0]  # noqa: B023
+                if pick in counts:
+                    counts[pick] += 1
+                    total += 1
+                out.append(pick)
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in columns], pa.array(out, pa.string())], names=[*columns, "question_type"])
+
+    columns = rows.columns
+    schema = StructType([*rows.schema.fields, StructField("question_type", StringType())])
+    # the window deals groups to tasks, sorts them and marks where each begins
+    numbered = rows.withColumn("_nth", F.row_number().over(Window.partitionBy(group).orderBy(F.col(order).asc_nulls_last())))
+    return numbered.mapInArrow(assign, schema)
 
 
 def fit_budget(budget: dict[str, float], allowed: list[str] | None = None) -> dict[str, float]:
