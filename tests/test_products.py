@@ -6,6 +6,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+from weftgraph.operators import enrich as E
 from weftgraph.operators import graph as G
 from weftgraph.operators import products as P
 from weftgraph.operators import similarity as X
@@ -85,3 +86,11 @@ def test_shared_pairs_of_common_items_shuffle_no_pairs(spark):
     got = G.shared_pairs(rows, "d", "x", 8)
     assert {(r.a, r.b): r.shared for r in got.collect()} == {(a, b): len(sets[a] & sets[b]) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 8}
     assert "Join" not in plan(got) and "Exchange" not in plan(got)
+
+
+def test_bridge_pairs_deal_more_tasks_to_more_rows(spark, monkeypatch):
+    monkeypatch.setattr(E, "TASK_ROWS", 10)
+    rows = [(i // 4, i % 3, i % 4, i * 7 % 5) for i in range(200)]
+    got = E.bridge_pairs(spark.createDataFrame(rows, "g long, d long, p long, n long"), "g", "d", "p", "n")
+    want = {(g, x, y) for g, _, p, x in rows for h, _, q, y in rows if g == h and p < q and x != y}
+    assert sorted(tuple(r) for r in got.collect()) == sorted(want) and "hashpartitioning(g#" in plan(got) and ", 20)" in plan(got)

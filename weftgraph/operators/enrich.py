@@ -154,13 +154,20 @@ def located_chunks(answers: DataFrame, bridge: str, doc: str, indices: str, n_ch
     return answers.select(*rest, F.explode(F.slice(valid, 1, most)).alias("chunk_index"))
 
 
+#: Rows that one task joins with each other, on average and at most.
+TASK_ROWS = 250_000
+
+
 def bridge_pairs(located: DataFrame, bridge: str, doc: str, pos: str, node: str) -> DataFrame:
     """bridge, a, b: the located chunks of every two documents of a bridge, in the documents' order.
 
-    At most two chunks per document are located, and a model names a bridge's documents, so a bridge is a short list.
+    At most two chunks per document are located, and a model names a bridge's documents, so a bridge is a short list. Bridges
+    are dealt to as many tasks as rows ask for: what one task sorts and makes distinct does not grow with the input.
     """
-    left = located.select(bridge, F.col(pos).alias("_p"), F.col(node).alias("a"), F.col(doc).alias("_da"))
-    right = located.select(bridge, F.col(pos).alias("_q"), F.col(node).alias("b"), F.col(doc).alias("_db"))
+    n = max(int(located.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-located.count() // TASK_ROWS))
+    dealt = located.select(bridge, pos, node).repartition(n, bridge)
+    left = dealt.select(bridge, F.col(pos).alias("_p"), F.col(node).alias("a"))
+    right = dealt.select(bridge, F.col(pos).alias("_q"), F.col(node).alias("b"))
     return left.join(right, bridge).filter("_p < _q and a <> b").select(bridge, "a", "b").distinct()
 
 
