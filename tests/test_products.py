@@ -94,3 +94,10 @@ def test_bridge_pairs_deal_more_tasks_to_more_rows(spark, monkeypatch):
     got = E.bridge_pairs(spark.createDataFrame(rows, "g long, d long, p long, n long"), "g", "d", "p", "n")
     want = {(g, x, y) for g, _, p, x in rows for h, _, q, y in rows if g == h and p < q and x != y}
     assert sorted(tuple(r) for r in got.collect()) == sorted(want) and "hashpartitioning(g#" in plan(got) and ", 20)" in plan(got)
+
+
+def test_cosine_band_sends_no_vector_to_every_pair(spark):
+    rng = random.Random(6)
+    df = spark.createDataFrame([(i, [rng.gauss(0, 1) for _ in range(6)]) for i in range(100)], "i long, v array<double>")
+    got = plan(X.cosine_band(df, "i", "v", 0.6, 0.9, block_rows=16))
+    assert "Join" not in got and "Exchange" not in got

@@ -5,14 +5,15 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from weftgraph.functions.text import jaccard, tokens
 from weftgraph.operators.products import JOINED, joinable, products
-from weftgraph.storage import cut
+from weftgraph.storage import block_files, cut, cut_blocks, open_blocks
 
 #: Vectors of one block of the dense join; a task holds two blocks.
 BLOCK_ROWS = 4096
@@ -117,7 +118,8 @@ def cosine_band(vectors: DataFrame, vec_id: str, vector: str, low: float, high:
 
     Exact. Vectors are dealt to the nearest of at most CENTRES centres, and a large cell to blocks of about block_rows.
     The angle between vectors of two cells is at least that of their centres less both radii, so pairs of cells beyond the
-    band's widest angle are left out; the others meet block by block in a matrix product. A task holds two blocks.
+    band's widest angle are left out; the others meet block by block in a matrix product. Blocks are written once, and a
+    task reads and holds two: no vector is sent to each pair of blocks.
     """
     unit = lambda v: F.transform(F.array(F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))), lambda n: F.transform(v, lambda x: F.when(n > 0, x.cast("double") / n).otherwise(0.0)))[0]
     rows = cut(vectors.select(F.col(vec_id).alias("id"), unit(F.col(vector)).alias("v")), "unit-vectors")
@@ -139,36 +141,50 @@ def cosine_band(vectors: DataFrame, vec_id: str, vector: str, low: float, high:
     placed = cut(rows.select("id", "v", F.arrow_udf(near, "cell long, angle double")("v").alias("c")).select("id", "v", "c.*"), "placed-vectors")
     cells = placed.groupBy("cell").agg(F.count("*").alias("n"), F.max("angle").alias("radius")).orderBy("cell").collect()  # at most CENTRES rows
     parts = {c.cell: max(1, -(-c.n // block_rows)) for c in cells}
+    base = dict(zip(parts, np.cumsum([0, *parts.values()]).tolist(), strict=False))
     pairs = []
     for x in cells:
         for y in cells:
             if x.cell <= y.cell:
                 apart = np.arccos(np.clip(centres[x.cell] @ centres[y.cell], -1, 1)) - x.radius - y.radius
                 if low <= 0 or np.cos(max(0.0, apart)) >= low - 1e-9 or x.cell == y.cell:
-                    pairs += [(x.cell, i, y.cell, j, f"{x.cell}.{i}|{y.cell}.{j}") for i in range(parts[x.cell]) for j in range(parts[y.cell]) if x.cell < y.cell or i <= j]
+                    pairs += [(base[x.cell] + i, base[y.cell] + j) for i in range(parts[x.cell]) for j in range(parts[y.cell]) if x.cell < y.cell or i <= j]
+    # neighbours share their first block; numbers of blocks, 16 bytes for each pair of them
+    at = np.array(sorted(pairs), np.int64)
     spark = vectors.sparkSession
-    plan = spark.createDataFrame(pairs, "c1 long, p1 long, c2 long, p2 long, pair string")
-    sizes = spark.createDataFrame([(c, p) for c, p in parts.items()], "cell long, parts long")
-    blocks = placed.join(F.broadcast(sizes), "cell").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")))  # CENTRES rows
-    sides = plan.select(F.col("c1").alias("cell"), F.col("p1").alias("part"), "pair", F.lit(0).alias("side"))
-    other = plan.filter("c1 <> c2 or p1 <> p2").select(F.col("c2").alias("cell"), F.col("p2").alias("part"), "pair", F.lit(1).alias("side"))
-    met = blocks.join(sides.unionByName(other), ["cell", "part"]).select("pair", "side", "id", "v")
-    kind = dict(rows.dtypes)["id"]
-
-    def multiply(part: pd.DataFrame) -> pd.DataFrame:
-        x = part[part.side == 0]
-        y = part[part.side == 1]
-        same = not len(y)
-        y = x if same else y
-        dots = np.stack(x.v) @ np.stack(y.v).T
-        i, j = np.nonzero((dots >= low) & (dots <= high))
-        a, b = x.id.to_numpy()[i], y.id.to_numpy()[j]
-        keep = a < b if same else a != b
-        a, b, c = a[keep], b[keep], dots[i, j][keep]
-        swap = a > b
-        return pd.DataFrame({"a": np.where(swap, b, a), "b": np.where(swap, a, b), "cosine": c})
-
-    return met.groupBy("pair").applyInPandas(multiply, f"a {kind}, b {kind}, cosine double")
+    sizes = spark.createDataFrame([(c, p, base[c]) for c, p in parts.items()], "cell long, parts long, base long")
+    blocks = placed.join(F.broadcast(sizes), "cell").select("id", "v", (F.col("base") + F.pmod(F.xxhash64("id"), F.col("parts"))).cast("int").alias("block"))  # CENTRES rows
+    total = sum(parts.values())
+    uri = cut_blocks(blocks, "dense-blocks", total)
+    files = block_files(spark, uri)
+    kind = rows.schema["id"].dataType
+
+    def block(k: int) -> tuple[pa.Array, np.ndarray] | None:
+        if k not in files:
+            return None
+        table = pa.concat_tables(open_blocks(uri, files[k], pq.read_table)).combine_chunks()
+        v = table["v"].combine_chunks()
+        return table["id"].combine_chunks(), v.flatten().to_numpy().reshape(len(v), -1)
+
+    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = (None, None)
+        for batch in batches:
+            for p, q in at[batch.column(0).to_numpy()].tolist():
+                held = held if held[0] == p else (p, block(p))
+                x, y = held[1], held[1] if p == q else block(q)
+                if x is None or y is None:
+                    continue
+                dots = x[1] @ y[1].T
+                i, j = np.nonzero((dots >= low) & (dots <= high))
+                if p == q:
+                    i, j = i[i < j], j[i < j]
+                for k in range(0, len(i), 1 << 16):
+                    u, w = i[k : k + (1 << 16)], j[k : k + (1 << 16)]
+                    yield pa.RecordBatch.from_arrays([x[0].take(pa.array(u)), y[0].take(pa.array(w)), pa.array(dots[u, w])], names=["a", "b", "cosine"])
+
+    schema = StructType([StructField("a", kind), StructField("b", kind), StructField("cosine", DoubleType())])
+    met = spark.range(0, len(at), 1, min(len(at), max(4 * total, len(at) // 64))).mapInArrow(multiply, schema).filter("a <> b")
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "cosine")
 
 
 def anti_duplicate(pairs: DataFrame, texts: DataFrame, node: str, text: str, most: float = 0.8) -> DataFrame:
